@@ -1,7 +1,7 @@
 """Readable text of a page: selector chain, then paragraphs, then the whole page.
 
 Which elements enclose a text needs the page's nesting, which no Spark expression follows, so a small
-parser runs inside an Arrow job over the page partitions.  Nothing shuffles.
+parser runs in an Arrow UDF over the page column.  Nothing shuffles.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Tags without content, tags that end an open paragraph, tags whose text never shows.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -136,21 +137,13 @@ def _parse(html: str | None) -> _Outline:
 
 
 def _extract(pages: DataFrame, key: str, html: str, one_page) -> DataFrame:
-    key_type = pages.schema[key].dataType.simpleString()
-
-    def job(batches):
-        for batch in batches:
-            found = [one_page(page.as_py()) for page in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([text for text, _ in found], pa.string()),
-                    pa.array([rule for _, rule in found], pa.string()),
-                ],
-                [key, "case_text", "rule"],
-            )
-
-    return pages.select(key, html).mapInArrow(job, f"`{key}` {key_type}, case_text string, rule string")
+    @F.arrow_udf("struct<case_text:string,rule:string>")
+    def extract(batch: pa.Array) -> pa.Array:
+        found = [one_page(page.as_py()) for page in batch]
+        columns = [pa.array([text for text, _ in found], pa.string()), pa.array([rule for _, rule in found], pa.string())]
+        return pa.StructArray.from_arrays(columns, ["case_text", "rule"])
+
+    return pages.select(key, extract(html).alias("_t")).select(key, "_t.*")
 
 
 def page_text(pages: DataFrame, key: str = "page_id", html: str = "html", selectors=SELECTORS) -> DataFrame:

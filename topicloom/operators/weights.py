@@ -7,12 +7,10 @@ vocabulary has at most ``local_terms`` terms; a larger one is joined to the coun
 
 from __future__ import annotations
 
-import sys
 from dataclasses import dataclass, replace
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
@@ -136,22 +134,27 @@ class TermWeights:
 
     def count_vectors(self, docs: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
         """``(key, features)``: raw counts per document; unseen terms are ignored."""
-        counter = CountVectorizerModel.from_vocabulary(list(self._terms["term"]), inputCol=tokens, outputCol="features")
-        return counter.transform(docs.select(key, tokens)).select(key, "features")
+        return self._counter(tokens, "features").transform(docs.select(key, tokens)).select(key, "features")
 
     def vectors(self, docs: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
         """``(key, features)``: normalised TF-IDF per document, also for documents without known terms."""
-        scale = ElementwiseProduct(scalingVec=Vectors.dense(self._terms["idf"].to_numpy()), inputCol="features", outputCol="_scaled")
-        norm = Normalizer(p=2.0, inputCol="_scaled", outputCol="_unit")
-        unit = norm.transform(scale.transform(self.count_vectors(docs, key, tokens)))
-        return unit.select(key, F.col("_unit").alias("features"))
+        return self.with_vectors(docs.select(key, tokens), tokens).select(key, "features")
+
+    def with_vectors(self, docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+        """The documents with all their columns and ``features``."""
+        scale = ElementwiseProduct(scalingVec=Vectors.dense(self._terms["idf"].to_numpy()), inputCol="_counts", outputCol="_scaled")
+        norm = Normalizer(p=2.0, inputCol="_scaled", outputCol="features")
+        return norm.transform(scale.transform(self._counter(tokens, "_counts").transform(docs))).drop("_counts", "_scaled")
+
+    def _counter(self, tokens: str, output: str) -> CountVectorizerModel:
+        return CountVectorizerModel.from_vocabulary(list(self._terms["term"]), inputCol=tokens, outputCol=output)
 
     def weighted(self, docs: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
         """``(key, term_id, weight)``, one row per document and known term."""
         if self.local:
-            return unpack_vectors(self.vectors(docs, key, tokens), key).select(
-                key, F.explode(F.arrays_zip("term_ids", "weights")).alias("_e")
-            ).select(key, F.col("_e.term_ids").alias("term_id"), F.col("_e.weights").alias("weight"))
+            parts = self.vectors(docs, key, tokens).select(key, sparse_parts("features").alias("_v"))
+            entries = parts.select(key, F.explode(F.arrays_zip("_v.term_ids", "_v.weights")).alias("_e"))
+            return entries.select(key, F.col("_e.term_ids").alias("term_id"), F.col("_e.weights").alias("weight"))
         return self.weighted_by_join(docs, key, tokens)
 
     def weighted_by_join(self, docs: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
@@ -191,17 +194,14 @@ class TermWeights:
         return cls(table.drop("n_docs"), first[0] if first else 0, params)
 
 
-def unpack_vectors(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, term_ids, weights)`` of sparse vectors; the Arrow buffers are passed on unread."""
-    key_type = vectors.schema[key].dataType.simpleString()
+def sparse_parts(features: str) -> Column:
+    """``struct(term_ids, weights)`` of a sparse vector column; the Arrow buffers are passed on unread."""
 
-    def job(batches):
-        for batch in batches:
-            packed = batch.column(1)
-            columns = [batch.column(0), packed.field("indices"), packed.field("values")]
-            yield pa.RecordBatch.from_arrays(columns, [key, "term_ids", "weights"])
+    @F.arrow_udf("struct<term_ids:array<int>,weights:array<double>>")
+    def parts(vectors: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([vectors.field("indices"), vectors.field("values")], ["term_ids", "weights"])
 
-    return vectors.select(key, "features").mapInArrow(job, f"`{key}` {key_type}, term_ids array<int>, weights array<double>")
+    return parts(features)
 
 
 def fit_weights(docs: DataFrame, params: WeightParams = STANDARD, key: str = "doc_id", tokens: str = "tokens") -> TermWeights:
@@ -231,5 +231,3 @@ def _select_terms(stats: DataFrame, n_docs: int, params: WeightParams) -> TermWe
     vocabulary = materialise(indexed.withColumn("idf", idf(F.col("df"), n_docs)), "vocabulary")
     return TermWeights(vocabulary, n_docs, params)
 
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

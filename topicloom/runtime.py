@@ -43,7 +43,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the plan's result."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def spread_small(df: DataFrame) -> DataFrame:
