@@ -17,7 +17,7 @@ def length_stats(df: DataFrame, value: Column) -> DataFrame:
     histogram = df.select(value.cast("bigint").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     return histogram.agg(
         (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile("v", 0.5, "n").alias("median"),
+        F.percentile("v", 0.5, F.col("n")).alias("median"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.text import ellipsis
 from topicloom.functions.topics import condense, topic_name
 from topicloom.functions.urls import year_from_url
+from topicloom.runtime import sized
 
 
 def with_year(df: DataFrame, url: str = "case_url", first: int | None = None, last: int | None = None) -> DataFrame:
@@ -103,11 +104,8 @@ def condensed_counts(df: DataFrame) -> DataFrame:
 
 
 def join_details(df: DataFrame, details: DataFrame, on: str = "condensedtopics") -> DataFrame:
-    """Inner join with the topic details; topics without details drop out.
-
-    No hint: Catalyst broadcasts the details as long as their size stays below its threshold.
-    """
-    return df.join(details, on, "inner")
+    """Inner join with the topic details; topics without details drop out."""
+    return df.join(sized(details), on, "inner")
 
 
 def condensed_trend(cases: DataFrame, details: DataFrame, excluded: int = 2) -> DataFrame:
@@ -163,7 +161,7 @@ def topic_summary(cases: DataFrame, words: DataFrame, n_topics: int, width: int
 
 def lookup_words(cases: DataFrame, words: DataFrame) -> DataFrame:
     """Add each case's topic words; an unknown topic gets null."""
-    return cases.join(words, "topic_number", "left")
+    return cases.join(sized(words), "topic_number", "left")
 
 
 def between_years(df: DataFrame, extent: tuple[int, int] | None, year: Column | str = "year") -> DataFrame:

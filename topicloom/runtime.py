@@ -46,6 +46,16 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def sized(df: DataFrame, label: str = "dimension") -> DataFrame:
+    """A small side of a join with its true size known to Catalyst.
+
+    A plan estimated below the broadcast threshold stays as it is.  Any other is written once, so that
+    Catalyst broadcasts it by its real size, or joins it without a broadcast when it really is large.
+    """
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return df if planned_bytes(df) <= threshold else materialise(df, label)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread a small input over the cores.
 
