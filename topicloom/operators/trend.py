@@ -22,7 +22,8 @@ def count_by(df: DataFrame, *keys: str, name: str = "count") -> DataFrame:
 
 
 def year_topic_counts(df: DataFrame) -> DataFrame:
-    return count_by(df, "year", "topic_number")
+    """Observed pairs; a null year or topic forms no group."""
+    return count_by(df.where("year IS NOT NULL AND topic_number IS NOT NULL"), "year", "topic_number")
 
 
 def yearly_totals(df: DataFrame) -> DataFrame:
@@ -42,19 +43,21 @@ def count_every_column(df: DataFrame, key: str = "year") -> DataFrame:
 def year_topic_grid(counts: DataFrame) -> DataFrame:
     """Every year from first to last, by every topic from 0 to the highest seen.
 
-    Two ``explode`` calls over one row of bounds; the bounds come from the counts, not the cases.
+    Two ``explode`` calls over one row of bounds; the bounds come from the counts, not the cases.  They
+    read the count column too, so that the plan below is the same as in a join of these counts and its
+    exchange is used twice.
     """
     bounds = counts.agg(
-        F.min("year").alias("first"), F.max("year").alias("last"), F.max("topic_number").alias("top")
-    ).where(F.col("first").isNotNull())
+        F.min("year").alias("first"), F.max("year").alias("last"), F.max("topic_number").alias("top"), F.sum("count").alias("n")
+    ).where(F.col("n") > 0)
     years = bounds.select(F.explode(F.sequence("first", "last")).alias("year"), "top")
     return years.select("year", F.explode(F.sequence(F.lit(0), F.col("top").cast("int"))).alias("topic_number"))
 
 
 def observed_grid(counts: DataFrame, year: str = "year", topic: str = "topic_number") -> DataFrame:
     """Observed years by observed topics (the counts hold one row per pair, so both sets are small)."""
-    seen = counts.agg(F.collect_set(year).alias("_years"), F.collect_set(topic).alias("_topics"))
-    return seen.select(F.explode("_years").alias(year), "_topics").select(year, F.explode("_topics").alias(topic))
+    seen = counts.agg(F.collect_set(year).alias("_years"), F.collect_set(topic).alias("_topics"), F.sum("count").alias("_n"))
+    return seen.where("_n > 0").select(F.explode("_years").alias(year), "_topics").select(year, F.explode("_topics").alias(topic))
 
 
 def fill_grid(grid: DataFrame, counts: DataFrame, keys: list[str], value: str = "count", kind: str = "int") -> DataFrame:
@@ -100,7 +103,8 @@ def exclude_topic(df: DataFrame, topic: int, column: str = "topic_number") -> Da
 
 def condensed_counts(df: DataFrame) -> DataFrame:
     """A literal 1 per case, counted by year and condensed topic."""
-    return df.withColumn("count", F.lit(1)).groupBy("year", "condensedtopics").agg(F.count("count").alias("count"))
+    known = df.where("year IS NOT NULL AND condensedtopics IS NOT NULL")
+    return known.withColumn("count", F.lit(1)).groupBy("year", "condensedtopics").agg(F.count("count").alias("count"))
 
 
 def join_details(df: DataFrame, details: DataFrame, on: str = "condensedtopics") -> DataFrame:
