@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import clean_tokens
+from topicloom.runtime import spread_small
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,7 +47,7 @@ SQL_DOCS = f"docs AS (SELECT doc_id, lang, source, text, {SQL_TOKENS} AS tokens
 
 
 def tokens_of(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = spread_small(table(spark, folder, "documents"))
     return documents.select("doc_id", "lang", "source", "text", clean_tokens("text", STOP).alias("tokens"))
 
 
@@ -68,7 +69,7 @@ counts AS (SELECT year, topic_number, count(*) AS n FROM dated GROUP BY year, to
 
 
 def cases_of(spark: SparkSession, folder: str, topics: int = 20) -> DataFrame:
-    orders = table(spark, folder, "orders")
+    orders = spread_small(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     year, key = F.year("o_orderdate").cast("string"), F.col("o_orderkey")
     url = (
         F.when(key % 3 == 0, F.concat(F.lit("https://example.org/case/"), year, F.lit("/"), key.cast("string"), F.lit(".html")))

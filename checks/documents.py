@@ -300,8 +300,8 @@ def sql_fitted(max_df, min_df, cap=None, stop=()):
     weighted AS (SELECT doc_id, term, term_id, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
-def fitted(spark, folder, params, docs=None):
-    docs = materialise(spread_small(tokens_of(spark, folder).select("doc_id", "lang", "tokens") if docs is None else docs), "tokens")
+def fitted(spark, folder, params):
+    docs = materialise(tokens_of(spark, folder).select("doc_id", "lang", "tokens"), "tokens")
     return docs, weights.fit_weights(docs, params)
 
 
@@ -376,7 +376,7 @@ FIT_EN = sql_fitted(0.95, 2, 5000).replace("FROM tf GROUP BY term", "FROM tf JOI
 
 @query("tfidf_transform", f"{DOCS}, {TF}, {FIT_EN} SELECT doc_id, term, round(weight, 6) AS weight FROM weighted JOIN docs USING (doc_id) WHERE lang <> 'en'")
 def _(spark, folder):
-    docs = materialise(spread_small(tokens_of(spark, folder).select("doc_id", "lang", "tokens")), "tokens")
+    docs = materialise(tokens_of(spark, folder).select("doc_id", "lang", "tokens"), "tokens")
     fit = weights.fit_weights(docs.where("lang = 'en'"), weights.STANDARD)
     return named_weights(docs.where("lang <> 'en'"), fit)
 

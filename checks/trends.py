@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.catalog import SQL_CASES, SQL_STUDY, cases_of, details_of, query, study_of, table
-from topicloom.functions.topics import condense
-from topicloom.functions.urls import year_date, year_from_case_id, year_from_url
+from topicloom.functions.urls import year_from_case_id, year_from_url
 from topicloom.operators import chart, trend
 
 WITH = f"WITH {SQL_CASES}"
@@ -17,6 +16,11 @@ def dated_of(spark, folder):
     return trend.with_year(cases_of(spark, folder))
 
 
+def every_year_of(spark, folder):
+    """The same with the undated cases left in, for the counts to leave out."""
+    return trend.with_year(cases_of(spark, folder), drop=False)
+
+
 @query("year_from_url", f"{WITH} SELECT o_orderkey, year FROM dated UNION ALL SELECT o_orderkey, NULL FROM cases WHERE case_url LIKE '%none%'")
 def _(spark, folder):
     return cases_of(spark, folder).select("o_orderkey", year_from_url(F.col("case_url")).alias("year"))
@@ -24,12 +28,12 @@ def _(spark, folder):
 
 @query("year_topic_counts", f'{WITH} SELECT year, topic_number, n AS "count" FROM counts')
 def _(spark, folder):
-    return trend.year_topic_counts(dated_of(spark, folder))
+    return trend.year_topic_counts(every_year_of(spark, folder))
 
 
 @query("yearly_totals", f"{WITH} SELECT year, count(*) AS total_cases FROM dated GROUP BY year")
 def _(spark, folder):
-    return trend.yearly_totals(dated_of(spark, folder))
+    return trend.yearly_totals(every_year_of(spark, folder))
 
 
 GRID = """bounds AS (SELECT min(year) AS a, max(year) AS b, max(topic_number) AS t FROM counts),
@@ -38,12 +42,12 @@ grid AS (SELECT CAST(y AS INTEGER) AS year, CAST(k AS INTEGER) AS topic_number F
 
 @query("year_topic_grid", f"{WITH}, {GRID} SELECT year, topic_number FROM grid")
 def _(spark, folder):
-    return trend.year_topic_grid(trend.year_topic_counts(dated_of(spark, folder)))
+    return trend.year_topic_grid(trend.year_topic_counts(every_year_of(spark, folder)))
 
 
 @query("grid_left_join", f'{WITH}, {GRID} SELECT year, topic_number, CAST(coalesce(n, 0) AS INTEGER) AS "count" FROM grid LEFT JOIN counts USING (year, topic_number)')
 def _(spark, folder):
-    counts = trend.year_topic_counts(dated_of(spark, folder))
+    counts = trend.year_topic_counts(every_year_of(spark, folder))
     return trend.fill_grid(trend.year_topic_grid(counts), counts, ["year", "topic_number"])
 
 
@@ -53,7 +57,7 @@ def _(spark, folder):
     FROM grid LEFT JOIN counts USING (year, topic_number)""",
 )
 def _(spark, folder):
-    return trend.trend_table(dated_of(spark, folder))
+    return trend.trend_table(every_year_of(spark, folder))
 
 
 @query("topic_value_counts", f'{WITH} SELECT topic_number, count(*) AS "count" FROM dated GROUP BY topic_number ORDER BY 2 DESC, 1')
@@ -225,10 +229,8 @@ def _(spark, folder):
 
 @query("parse_year_date", "SELECT o_orderkey, make_date(year(o_orderdate), 1, 1) AS date, CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE) AS value FROM orders")
 def _(spark, folder):
-    year = F.year("o_orderdate").cast("string")
-    return table(spark, folder, "orders").select(
-        "o_orderkey", year_date(year).alias("date"), F.col("o_totalprice").cast("string").cast("double").alias("value")
-    )
+    year, price = F.year("o_orderdate").cast("string"), F.col("o_totalprice").cast("string")
+    return chart.parse_series(table(spark, folder, "orders").select("o_orderkey", year.alias("date"), price.alias("value")))
 
 
 @query("year_window", f"{WITH} SELECT year, topic_number, count(*) AS n FROM dated WHERE year BETWEEN 1997 AND 1999 GROUP BY 1, 2")

@@ -66,9 +66,9 @@ def test_batches_restart_where_they_stopped(spark, tmp_path):
         return part.withColumn("made", F.lit(True))
 
     with pytest.raises(RuntimeError):
-        write_in_batches(rows, path, "key", size=10, batches_per_job=1, transform=slow)
+        write_in_batches(rows, path, "key", size=10, max_jobs=3, transform=slow)
     assert {r[0] for r in pending_batches(spark, assign_batches(rows, "key", 10), path).select("batch").distinct().collect()} == {"10_20", "20_25"}
-    done = write_in_batches(rows, path, "key", size=10, batches_per_job=1, transform=slow)
+    done = write_in_batches(rows, path, "key", size=10, max_jobs=3, transform=slow)
     assert calls[2][0] == 10 and sorted(r.key for r in done.collect()) == list(range(25))
 
 
@@ -76,6 +76,8 @@ def test_text_of_cases(spark, crawl, tmp_path):
     cases = collect_links(crawl, "/c/", "/years/").union(spark.createDataFrame([("https://h/c/lost", "1")], "case_url string, docket string"))
     whole = {r.case_url: r.case_text for r in extract_text(cases, crawl).collect()}
     assert whole["https://h/c/lost"] == "" and len(whole) == 13
+    copies = crawl.union(crawl.select(F.col("page_id") + 1_000_000, "url", F.lit("<p>later copy</p>")))
+    assert {r.case_url: r.case_text for r in extract_text(cases, copies).collect()} == whole
     batched = extract_text_in_batches(cases, crawl, str(tmp_path / "texts"), size=5)
     assert {r.case_url: r.case_text for r in batched.collect()} == whole
 

@@ -7,22 +7,31 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What becomes one blank, in order of precedence.
-SEPARATORS = (" {4}", "[\r\n\t]", "n't", "'m", "'ll", "[^a-z ]")
+# Phrases that become one blank, in this order, before every other character outside a-z does.
+PHRASES = ("\u00a0" * 4, "n't", "'m", "'ll")
+
+
+def _without_phrases(text: Column | str) -> Column:
+    cleaned = F.lower(F.coalesce(_col(text), F.lit("")))
+    for phrase in PHRASES:
+        cleaned = F.replace(cleaned, F.lit(phrase), F.lit(" "))
+    return cleaned
 
 
 def normalize(text: Column | str) -> Column:
-    """Lower-case, then every separator becomes one blank; null gives an empty string.
+    """Lower-case; phrases, then all characters but a-z and blanks, become one blank; null gives ``""``."""
+    return F.regexp_replace(_without_phrases(text), "[^a-z ]", " ")
+
 
-    No two separators can overlap, so one pass over the alternatives equals one pass per separator.
-    """
-    lowered = F.lower(F.coalesce(_col(text), F.lit("")))
-    return F.regexp_replace(lowered, "|".join(SEPARATORS), " ")
+def pieces(text: Column | str) -> Column:
+    """Words of the normalised text, with empty strings at the ends: split at what would become blanks,
+    which saves writing the normalised text."""
+    return F.split(_without_phrases(text), "[^a-z]+")
 
 
 def words(text: Column | str) -> Column:
     """Blank-separated words of the normalised text; null and empty give an empty array."""
-    return F.filter(F.split(normalize(text), " "), lambda w: w != "")
+    return F.filter(pieces(text), lambda w: w != "")
 
 
 def drop_stop_words(tokens: Column | str, stop_words: Iterable[str], min_length: int = 2) -> Column:
@@ -44,7 +53,7 @@ def _keep(tokens, stop_words, long_enough) -> Column:
 
 def clean_tokens(text: Column | str, stop_words: Iterable[str], min_length: int = 2) -> Column:
     """Normalise, split and filter in one expression: one filter drops blanks, short and stop words."""
-    return drop_stop_words(F.split(normalize(text), " "), stop_words, min_length)
+    return drop_stop_words(pieces(text), stop_words, min_length)
 
 
 def join_tokens(tokens: Column | str) -> Column:

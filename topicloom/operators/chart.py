@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.functions.urls import year_date
+
+
+def parse_series(series: DataFrame, date: str = "date", value: str = "value") -> DataFrame:
+    """A series as read from a file: year strings to dates, values to numbers."""
+    return series.withColumn(date, year_date(F.col(date))).withColumn(value, F.col(value).cast("double"))
+
 
 def cumulative_curve(per_year: DataFrame, year: str = "year", value: str = "count", step: float = 0.01) -> DataFrame:
     """Running total of ``value * step`` by year.

@@ -45,9 +45,9 @@ def case_links_study(links: DataFrame, needed: str, *excluded: str) -> DataFrame
 
 
 def distinct_links(links: DataFrame, href: str = "href") -> DataFrame:
-    """One row per address.  The docket follows from the address, so it does not matter which copy stays;
+    """One row per address.  The docket follows from the address, so distinct pairs are distinct addresses;
     copies are dropped per task before the shuffle."""
-    return links.select(F.col(href).alias("case_url"), "docket").dropDuplicates(["case_url"])
+    return links.select(F.col(href).alias("case_url"), "docket").distinct()
 
 
 def _matched(html: Column, marker: str, exclude: str) -> Column:
@@ -86,7 +86,10 @@ def link_patterns(pages: DataFrame, word: str, phrase: str, n: int = 5, width: i
         "number": lambda a: a["href"].rlike(r"\d+-\d+"),
         "phrase": lambda a: a["text"].contains(phrase),
     }
-    sample = lambda a: F.concat(a["href"], F.lit(" | "), F.substring(a["text"], 1, width))
+
+    def sample(a: Column) -> Column:
+        return F.concat(a["href"], F.lit(" | "), F.substring(a["text"], 1, width))
+
     found = pages.select(key, anchors(F.col("html")).alias("_a"))
     profiles = F.array(*[
         F.struct(

@@ -40,7 +40,10 @@ def filter_by_stop_table(docs: DataFrame, stop_table: DataFrame, key: str = "doc
     if len(head) <= literal_words:
         return docs.withColumn(tokens, drop_stop_words(tokens, [r[0] for r in head if r[0] is not None]))
     listed = stop_table.select(F.col(stop_table.columns[0]).alias("form")).distinct().withColumn("_listed", F.lit(True))
-    kept = lambda e: F.when(F.length("_token") > 1, F.when(F.col("_listed").isNull(), e))
+
+    def kept(entry: Column) -> Column:
+        return F.when((F.length("_token") > 1) & F.col("_listed").isNull(), entry)
+
     return _retokenise(docs, listed, key, tokens, kept, F.col("_token"))
 
 

@@ -127,11 +127,17 @@ class TermWeights:
         return self.n_terms <= self.params.local_terms
 
     @cached_property
-    def _terms(self):
+    def _ordered(self):
         if not self.local:
             raise ValueError(f"vocabulary of {self.n_terms} terms exceeds local_terms={self.params.local_terms}; use the joined form")
         return self.vocabulary.orderBy("term_id").select("term", "idf").toPandas()
 
+    @cached_property
+    def _vocabulary_array(self):
+        """The terms as a JVM array, handed over in one string: word by word takes long for many terms."""
+        newline = self.vocabulary.sparkSession._jvm.java.util.regex.Pattern.compile("\n")
+        return newline.split("\n".join(self._ordered["term"]))
+
     def count_vectors(self, docs: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
         """``(key, features)``: raw counts per document; unseen terms are ignored."""
         return self._counter(tokens, "features").transform(docs.select(key, tokens)).select(key, "features")
@@ -142,12 +148,13 @@ class TermWeights:
 
     def with_vectors(self, docs: DataFrame, tokens: str = "tokens") -> DataFrame:
         """The documents with all their columns and ``features``."""
-        scale = ElementwiseProduct(scalingVec=Vectors.dense(self._terms["idf"].to_numpy()), inputCol="_counts", outputCol="_scaled")
+        scale = ElementwiseProduct(scalingVec=Vectors.dense(self._ordered["idf"].to_numpy()), inputCol="_counts", outputCol="_scaled")
         norm = Normalizer(p=2.0, inputCol="_scaled", outputCol="features")
         return norm.transform(scale.transform(self._counter(tokens, "_counts").transform(docs))).drop("_counts", "_scaled")
 
     def _counter(self, tokens: str, output: str) -> CountVectorizerModel:
-        return CountVectorizerModel.from_vocabulary(list(self._terms["term"]), inputCol=tokens, outputCol=output)
+        counter = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", self._vocabulary_array)
+        return counter.setInputCol(tokens).setOutputCol(output)
 
     def weighted(self, docs: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
         """``(key, term_id, weight)``, one row per document and known term."""

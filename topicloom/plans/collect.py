@@ -18,18 +18,18 @@ def collect_links(pages: DataFrame, marker: str, exclude: str) -> DataFrame:
 def extract_text(case_urls: DataFrame, pages: DataFrame) -> DataFrame:
     """Add ``case_text`` to every case; a page that was not fetched or holds no text gives ``""``.
 
-    Only the extracted text, not the raw page, goes through the join.
+    Of several copies of a page the first by ``page_id`` counts.  It is chosen from addresses and ids
+    alone, combined per task, so a page crawled millions of times costs one row per task, and only the
+    chosen pages are parsed.  Addresses and ids are unique from there on: no join key is hot.
     """
-    texts = page_text(pages, key="url").select(F.col("url").alias("case_url"), "case_text")
-    return case_urls.join(texts, "case_url", "left").na.fill("", ["case_text"])
+    wanted = case_urls.select(F.col("case_url").alias("url"))
+    chosen = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).join(wanted, "url", "left_semi")
+    texts = page_text(pages.join(chosen.select("page_id"), "page_id", "left_semi").select("url", "html"), key="url")
+    found = texts.select(F.col("url").alias("case_url"), "case_text")
+    return case_urls.join(found, "case_url", "left").na.fill("", ["case_text"])
 
 
-def extract_text_in_batches(case_urls: DataFrame, pages: DataFrame, path: str, size: int = 5000, batches_per_job: int = 64) -> DataFrame:
-    """The same, written batch by batch so that a failed run continues; pages outside the pending batches
-    are dropped by the join before they are parsed."""
-
-    def with_text(batch: DataFrame) -> DataFrame:
-        wanted = batch.select(F.col("case_url").alias("url"))
-        return extract_text(batch, pages.join(wanted, "url", "left_semi"))
-
-    return write_in_batches(case_urls, path, "case_url", size, batches_per_job, with_text).drop("batch")
+def extract_text_in_batches(case_urls: DataFrame, pages: DataFrame, path: str, size: int = 5000, max_jobs: int = 16) -> DataFrame:
+    """The same, written batch by batch so that a failed run continues.  Every job reads the pages once,
+    so ``max_jobs`` bounds how often they are read."""
+    return write_in_batches(case_urls, path, "case_url", size, max_jobs, lambda batch: extract_text(batch, pages)).drop("batch")

@@ -45,7 +45,7 @@ def run_all(store: StageStore, pages: DataFrame | None, params: RunParams) -> di
     run = model_topics(processed, params.nmf, weighting, params.n_words)
     results["topic_words"] = store.write("topic_words", run.topic_words)
     results["topic_modeled"] = store.write("topic_modeled", run.topic_modeled)
-    dated = with_year(results["topic_modeled"].select("case_url", "topic_number"))
+    dated = with_year(results["topic_modeled"].select("case_url", "topic_number"), drop=False)
     results["visualization_data"] = store.write("visualization_data", trend_table(dated))
     results["yearly_totals"] = store.write("yearly_totals", yearly_totals(dated))
     results["summary"] = results["topic_modeled"].agg(F.count(F.lit(1)).alias("total_cases")).withColumn("n_topics", F.lit(params.nmf.n_topics))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.runtime import number_rows, path_exists
+from topicloom.runtime import materialise, number_rows, path_exists
 from topicloom.schemas import STAGES, conform
 
+ROWS_PER_FILE = 50_000
+
 
 class MissingStage(ValueError):
     """A stage table is not there yet; the message names the step that makes it."""
@@ -67,19 +70,21 @@ def pending_batches(spark: SparkSession, assigned: DataFrame, path: str) -> Data
 
 
 def write_in_batches(
-    df: DataFrame, path: str, key: str, size: int = 5000, batches_per_job: int = 64, transform: Callable[[DataFrame], DataFrame] | None = None
+    df: DataFrame, path: str, key: str, size: int = 5000, max_jobs: int = 16, transform: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """Write ``transform(df)`` partitioned by batch, a group of batches per job.
+    """Write ``transform(df)`` partitioned by batch, in at most ``max_jobs`` jobs of neighbouring batches.
 
-    Every job commits its own batches, so a run that fails continues after the last finished group and
+    Every job commits its own batches, so a run that fails continues after the last finished job and
     never repeats the (costly) transform of finished batches.
     """
     spark = df.sparkSession
-    assigned = assign_batches(df, key, size)
-    todo = pending_batches(spark, assigned, path).withColumn("_group", F.floor(F.col("row_index") / (size * batches_per_job)))
-    groups = sorted(r[0] for r in todo.select("_group").distinct().collect())
-    for group in groups:
-        part = df.join(todo.where(F.col("_group") == group).select(key, "batch"), key)
+    assigned = materialise(assign_batches(df, key, size), "batches")
+    rows_per_job = size * max(1, math.ceil(assigned.count() / (size * max_jobs)))
+    todo = pending_batches(spark, assigned, path).withColumn("_job", F.floor(F.col("row_index") / rows_per_job))
+    spread = F.pmod(F.xxhash64(key), F.lit(1 + size // ROWS_PER_FILE))
+    for job in sorted(r[0] for r in todo.select("_job").distinct().collect()):
+        part = df.join(todo.where(F.col("_job") == job).select(key, "batch"), key)
         made = part if transform is None else transform(part)
-        made.repartition("batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        writer = made.repartition("batch", spread).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
     return spark.read.parquet(path)
