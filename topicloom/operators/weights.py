@@ -42,6 +42,8 @@ STUDY_LSA = WeightParams(0.80, 2, None)
 STUDY_LDA = WeightParams(0.80, 2, None)
 SMALL_VOCABULARY = 100
 
+SORTABLE_TERMS = 100_000  # as many as one task may number
+
 
 def countable(tokens: Column | str, stop_words=()) -> Column:
     """The tokens a vectoriser counts: two characters or more, not in its own stop list."""
@@ -234,7 +236,7 @@ def _select_terms(stats: DataFrame, n_docs: int, params: WeightParams) -> TermWe
     listed = sorted(set(params.stop_words))
     allowed = stats.where(~F.col("term").isin(listed)) if listed else stats
     kept = cap_features(prune_by_df(allowed, n_docs, params.min_df, params.max_df), params.max_features)
-    indexed = index_terms(kept, bounded=params.max_features is not None)
+    indexed = index_terms(kept, bounded=params.max_features is not None and params.max_features <= SORTABLE_TERMS)
     vocabulary = materialise(indexed.withColumn("idf", idf(F.col("df"), n_docs)), "vocabulary")
     return TermWeights(vocabulary, n_docs, params)
 

@@ -33,7 +33,17 @@ def materialise(df: DataFrame, label: str, schema: T.StructType | str | None = N
     """
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema if schema is None else schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema if schema is None else schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table made by ``materialise`` that nothing reads any more."""
+    path = getattr(table, "_scratch_path", None)
+    if path is not None:
+        target = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
