@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.runtime import once
+
 # Tags without content, tags that end an open paragraph, tags whose text never shows.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ENDS_PARAGRAPH = frozenset(
@@ -143,7 +145,7 @@ def _extract(pages: DataFrame, key: str, html: str, one_page) -> DataFrame:
         columns = [pa.array([text for text, _ in found], pa.string()), pa.array([rule for _, rule in found], pa.string())]
         return pa.StructArray.from_arrays(columns, ["case_text", "rule"])
 
-    return pages.select(key, extract(html).alias("_t")).select(key, "_t.*")
+    return once(pages.select(key, html), "_t", extract(html)).select(key, "_t.*")
 
 
 def page_text(pages: DataFrame, key: str = "page_id", html: str = "html", selectors=SELECTORS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.html import anchors, container_count, page_title
 from topicloom.functions.urls import docket, docket_digits
+from topicloom.runtime import once
 
 
 def explode_anchors(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -35,7 +36,7 @@ def is_case_link_tag(tag: Column, needed: str, *excluded: str) -> Column:
 def case_links(links: DataFrame, marker: str, exclude: str, href: str = "href") -> DataFrame:
     """Links to cases with their docket; a link without docket characters is dropped."""
     kept = links.where(is_case_link(F.col(href), marker, exclude))
-    return kept.withColumn("docket", docket(F.col(href))).where(F.col("docket") != "")
+    return once(kept, "docket", docket(F.col(href))).where(F.col("docket") != "")
 
 
 def case_links_study(links: DataFrame, needed: str, *excluded: str) -> DataFrame:

@@ -8,17 +8,12 @@ from pyspark.sql import functions as F
 from topicloom.functions.text import ellipsis
 from topicloom.functions.topics import condense, topic_name
 from topicloom.functions.urls import year_from_url
-from topicloom.runtime import sized
+from topicloom.runtime import once, sized
 
 
-def with_year(df: DataFrame, url: str = "case_url", first: int | None = None, last: int | None = None, drop: bool = True) -> DataFrame:
-    """Add ``year`` and drop the rows whose address names none.
-
-    Dropping them tries the patterns once more, in a filter.  Where counts follow, ``drop=False`` saves
-    that: the counts leave null years out themselves.
-    """
-    dated = df.withColumn("year", year_from_url(F.col(url), first, last))
-    return dated.na.drop(subset=["year"]) if drop else dated
+def with_year(df: DataFrame, url: str = "case_url", first: int | None = None, last: int | None = None) -> DataFrame:
+    """Add ``year`` and drop the rows whose address names none."""
+    return once(df, "year", year_from_url(F.col(url), first, last)).na.drop(subset=["year"])
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "count") -> DataFrame:
@@ -28,21 +23,11 @@ def count_by(df: DataFrame, *keys: str, name: str = "count") -> DataFrame:
 
 def year_topic_counts(df: DataFrame) -> DataFrame:
     """Observed pairs; a null year or topic forms no group."""
-    return _dated_groups(df.where("topic_number IS NOT NULL"), "count", "topic_number")
+    return count_by(df.where("year IS NOT NULL AND topic_number IS NOT NULL"), "year", "topic_number")
 
 
 def yearly_totals(df: DataFrame) -> DataFrame:
-    return _dated_groups(df, "total_cases")
-
-
-def _dated_groups(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Group sizes by year and ``keys`` without null years.
-
-    The null group goes after the aggregate, by its count of years: a filter on the year itself would be
-    pushed below and derive every row's year twice.
-    """
-    counts = df.groupBy("year", *keys).agg(F.count("year").alias(name)).where(F.col(name) > 0)
-    return counts.select(F.coalesce("year", F.lit(0)).alias("year"), *keys, name)
+    return count_by(df.where("year IS NOT NULL"), "year", name="total_cases")
 
 
 def value_counts(df: DataFrame, key: str, by_index: bool = False) -> DataFrame:

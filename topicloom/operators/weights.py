@@ -60,7 +60,7 @@ def term_counts(docs: DataFrame, key: str = "doc_id", tokens: str = "tokens", st
     starts = F.filter(
         F.sequence(F.lit(0), F.size("_w") - 1), lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1))
     )
-    runs = words.where(F.size("_w") > 0).select(key, "_w", starts.alias("_s"))
+    runs = words.select(key, "_w", F.when(F.size("_w") > 0, starts).alias("_s"))
     entries = F.transform(
         "_s",
         lambda i, j: F.struct(
@@ -76,7 +76,8 @@ def term_stats(docs: DataFrame, tokens: str = "tokens", stop_words=()) -> DataFr
     it differs from its left neighbour.  Counted per task before the one shuffle by term."""
     words = docs.select(F.sort_array(countable(tokens, stop_words)).alias("_w"))
     left = F.concat(F.array(F.lit(None).cast("string")), F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))))
-    pairs = words.where(F.size("_w") > 0).select(F.explode(F.arrays_zip(F.col("_w").alias("term"), left.alias("left"))).alias("_p"))
+    zipped = F.when(F.size("_w") > 0, F.arrays_zip(F.col("_w").alias("term"), left.alias("left")))
+    pairs = words.select(F.explode(zipped).alias("_p"))
     return pairs.groupBy("_p.term").agg(
         F.count_if(~F.col("_p.term").eqNullSafe(F.col("_p.left"))).alias("df"), F.count(F.lit(1)).alias("total")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.text import clean_tokens, join_tokens
 from topicloom.operators.corpus import require_rows
+from topicloom.runtime import once
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,7 @@ class CleanParams:
 def clean_documents(docs: DataFrame, params: CleanParams = CleanParams(), text: str = "case_text") -> DataFrame:
     """Length filter, tokens, token filter: row-local, so it takes a stream as well as a table."""
     long_enough = docs.withColumn("text_length", F.length(text).cast("bigint")).where(F.col("text_length") >= params.min_length)
-    tokens = long_enough.withColumn("processed_text", clean_tokens(F.col(text), params.stop_words))
+    tokens = once(long_enough, "processed_text", clean_tokens(F.col(text), params.stop_words))
     counted = tokens.withColumn("token_count", F.size("processed_text").cast("bigint"))
     kept = counted.where(F.col("token_count") >= params.min_tokens)
     return kept.withColumn("processed_text_str", join_tokens("processed_text"))

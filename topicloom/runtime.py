@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,15 @@ def sized(df: DataFrame, label: str = "dimension") -> DataFrame:
     return df if planned_bytes(df) <= threshold else materialise(df, label)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row, also when later steps filter on it.
+
+    A filter on an ordinary column is pushed below it with the whole expression, which then runs twice.
+    It is not pushed below a generated column; a one-element array generates exactly one row.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread a small input over the cores.
 
