@@ -31,7 +31,7 @@ def crawl(spark):
 
 def test_whole_run_and_resume(spark, crawl, tmp_path):
     store = StageStore(spark, str(tmp_path))
-    params = RunParams(marker="/c/", exclude="/years/", clean=CleanParams(100, 10), weighting=WeightParams(0.95, 2, 100), nmf=NmfParams(2, 42, 50))
+    params = RunParams(marker="/c/", exclude="/years/", clean=CleanParams(100, 10), weighting=WeightParams(0.95, 2, 100), nmf=NmfParams(2, 42, 20), batch_size=5)
     results = run_all(store, crawl, params)
     assert results["case_urls"].count() == 12
     trend = {(r["year"], r["topic_number"]): r["count"] for r in results["visualization_data"].collect()}

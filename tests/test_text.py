@@ -36,6 +36,28 @@ def test_words_equal_python_split(spark):
         assert one(spark, sample, text.normalize) == plain
 
 
+def plainly(sample):
+    import re
+
+    for separator in ("\xa0\xa0\xa0\xa0", "\r", "\n", "\t", "n't", "'m", "'ll", "[^a-z ]"):
+        sample = re.sub(separator, " ", sample.lower())
+    return sample
+
+
+def test_random_texts_equal_python(spark):
+    import random
+
+    random.seed(11)
+    parts = ["n't", "'m", "'ll", "\xa0", "\xa0\xa0\xa0\xa0", "\r\n", "\t", " ", "A", "b", "n", "t", "'", "é", "Ñ", "ß", "1", "-", "😀", "l", "m"]
+    samples = ["".join(random.choices(parts, k=random.randint(1, 40))) for _ in range(3000)]
+    rows = spark.createDataFrame([(s,) for s in samples], "v string").select("v", text.normalize("v"), text.words("v"), text.clean_tokens("v", ["bb", "nt"]))
+    for sample, normal, words, kept in rows.collect():
+        wanted = plainly(sample)
+        assert normal == wanted, repr(sample)
+        assert words == wanted.split()
+        assert kept == [w for w in wanted.split() if len(w) > 1 and w not in ("bb", "nt")]
+
+
 def test_stop_filters(spark):
     frame = spark.createDataFrame([(["a", "of", "", "law", "be"],)], "t array<string>")
     row = frame.select(text.drop_stop_words("t", ["of"]), text.drop_stop_words_study("t", ["of"]), text.drop_stop_words("t", [])).first()

@@ -11,7 +11,7 @@ from topicloom.functions.wordlists import default_stop_words, english_words
 from topicloom.operators.nmf import NmfParams
 from topicloom.operators.trend import trend_table, with_year, yearly_totals
 from topicloom.operators.weights import STANDARD, WeightParams
-from topicloom.plans.collect import collect_links, extract_text
+from topicloom.plans.collect import collect_links, extract_text, extract_text_in_batches
 from topicloom.plans.model import model_topics
 from topicloom.plans.preprocess import CleanParams, check_cleaned, clean_documents
 from topicloom.runtime import spread_small
@@ -28,14 +28,16 @@ class RunParams:
     nmf: NmfParams = field(default_factory=NmfParams)
     n_words: int = 40
     exports: bool = True
+    batch_size: int | None = None
 
 
 def run_all(store: StageStore, pages: DataFrame | None, params: RunParams) -> dict[str, DataFrame]:
     """Collect and extract where those tables are missing, always clean, model and count; every stage is
-    written and read back.  ``pages`` is needed only while the first two tables are missing."""
+    written and read back.  ``pages`` is needed only while the first two tables are missing; with a
+    ``batch_size`` their text is extracted in batches that survive a failed run."""
     results = {
         "case_urls": store.get_or_build("case_urls", lambda: collect_links(_needed(pages), params.marker, params.exclude)),
-        "full_cases": store.get_or_build("full_cases", lambda: extract_text(store.read("case_urls"), _needed(pages))),
+        "full_cases": store.get_or_build("full_cases", lambda: _texts(store, _needed(pages), params.batch_size)),
     }
     clean = params.clean or CleanParams(stop_words=default_stop_words())
     weighting = params.weighting or WeightParams(stop_words=english_words())
@@ -57,6 +59,13 @@ def run_all(store: StageStore, pages: DataFrame | None, params: RunParams) -> di
     return results
 
 
+def _texts(store: StageStore, pages: DataFrame, batch_size: int | None) -> DataFrame:
+    cases = store.read("case_urls")
+    if batch_size is None:
+        return extract_text(cases, pages)
+    return extract_text_in_batches(cases, pages, f"{store.root}/full_cases_batches", batch_size)
+
+
 def _needed(pages: DataFrame | None) -> DataFrame:
     if pages is None:
         raise ValueError("the first two stages are missing: pages are needed to build them")
