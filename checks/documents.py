@@ -3,12 +3,7 @@
 from __future__ import annotations
 
 import uuid
-import zipfile
-from functools import lru_cache
-from glob import glob
-from os.path import dirname
 
-import pyspark
 from pyspark.sql import functions as F
 
 from checks.catalog import SECOND_STOP, SQL_DOCS, SQL_NORMAL, SQL_TOKENS, SQL_WORDS, STOP, query, sql_list, table, tokens_of
@@ -23,12 +18,16 @@ from topicloom.sources.stages import StageStore, assign_batches
 DOCS = f"WITH {SQL_DOCS}"
 
 
-@lru_cache(maxsize=1)
-def _bundled_english() -> tuple[str, ...]:
-    """The English list as shipped inside Spark, read without a session."""
-    jar = glob(dirname(pyspark.__file__) + "/jars/spark-mllib_*.jar")[0]
-    with zipfile.ZipFile(jar) as archive:
-        return tuple(archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
+# The English stop words of Spark ML.
+ENGLISH = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t
+can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've
+we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't
+cannot could here's how's let's ought that's there's what's when's where's who's why's would
+""".split())
 
 
 def documents(spark, folder):
@@ -63,7 +62,7 @@ def _(spark, folder):
 @query(
     "stopword_default",
     f"""SELECT w AS word, count(*) AS n FROM (SELECT unnest({SQL_WORDS}) AS w FROM documents)
-    WHERE list_contains({sql_list(_bundled_english())}, w) GROUP BY w""",
+    WHERE list_contains({sql_list(ENGLISH)}, w) GROUP BY w""",
 )
 def _(spark, folder):
     words = documents(spark, folder).select(F.explode(text.words("text")).alias("word"))

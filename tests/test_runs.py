@@ -126,3 +126,17 @@ def test_cleaning_runs_on_a_stream(spark, tmp_path):
     query = clean_stream(arriving).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [(r.case_url, r.year, r.token_count) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("https://h/1990/1", 1990, 60)]
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from topicloom.runtime import is_local, scratch_root
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(session)
+    assert is_local("local[8]") and not is_local("local-cluster[3,2,1024]")

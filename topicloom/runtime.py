@@ -15,14 +15,22 @@ SMALL_INPUT_BYTES = 1 << 30
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables: the session's checkpoint folder.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where it is unset
-    (tests on one machine) is a temporary one made.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; without one this raises there, since a
+    folder of one machine would be invisible to the others.  Only a local session that names none
+    (tests on one machine) gets a temporary folder.
     """
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="topicloom-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root
+    if root is not None:
+        return root
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="topicloom-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process and so share their folders."""
+    return master == "local" or master.startswith("local[")
 
 
 def materialise(df: DataFrame, label: str, schema: T.StructType | str | None = None) -> DataFrame:
