@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import neighbours
+from topicloom.llm import neighbours, rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op5_nearest_vectors")
 def _(spark, folder):
     return neighbours.nearest(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
+
+
+@query("op3_adaptive_rules", rules.rules_sql())
+def _(spark, folder):
+    return rules.apply_rules(table(spark, folder, "documents"))
