@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import neighbours, rules
+from topicloom.llm import language, neighbours, rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,19 @@ def _(spark, folder):
     return neighbours.nearest(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
 
 
+def held_out():
+    """Two thirds of the documents may teach, the rest is held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+
+
+@query("op2_language_id")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    net = language.fit(docs.where("NOT held_out").select(F.col("doc_id").alias("id"), "text", "lang"))
+    found = language.predict(docs.select("doc_id", "held_out", "text"), net)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op3_adaptive_rules", rules.rules_sql())
 def _(spark, folder):
     return rules.apply_rules(table(spark, folder, "documents"))

@@ -23,8 +23,8 @@ WINDOW = 5
 
 # measure -> (numerator, denominator, scale, slack): whole numbers, numerator * scale div denominator
 MEASURES = {
-    "word_length": ("word_chars", "n_words", 100, 100),
-    "symbols": ("n_symbols", "word_chars", 1000, 50),
+    "word_length": ("word_chars", "n_words", 100, 300),
+    "symbols": ("n_symbols", "word_chars", 1000, 200),
     "dup_lines": ("n_dup_lines", "n_lines", 1000, 200),
     "repeats": ("n_repeat_words", "n_words", 1000, 100),
 }
