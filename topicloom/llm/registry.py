@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import language, neighbours, rules
+from topicloom.llm import language, neighbours, quality, rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,13 @@ def _(spark, folder):
     return neighbours.nearest(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
 
 
+@query("op1_quality")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model, scorer, _ = quality.fit(docs)
+    return quality.classify(docs, model, scorer).select("doc_id", "votes", "label", "score", "kept")
+
+
 def held_out():
     """Two thirds of the documents may teach, the rest is held out."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
