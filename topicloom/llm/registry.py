@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import language, neighbours, quality, rules
+from topicloom.llm import language, near_dup, neighbours, quality, rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op4_near_duplicates")
+def _(spark, folder):
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op5_nearest_vectors")
 def _(spark, folder):
     return neighbours.nearest(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
