@@ -201,7 +201,9 @@ def fit(docs: DataFrame, p: QualityParams = QualityParams()) -> tuple[LabelModel
     for side in (q >= 0.5, q < 0.5):
         share = min(1.0, p.sample_rows / 2 / max(1.0, counts[side].sum()))
         chosen = chosen | (F.col("votes").isin(keys[side].tolist()) & (draw < share))
-    rows = voted.where(chosen).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "votes", "text").toPandas()
+    # bounded by the parameter, so it may be broadcast
+    picked = F.broadcast(voted.where(chosen).limit(2 * p.sample_rows))
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "votes", "text").limit(4 * p.sample_rows).toPandas()
     rows = rows.sort_values(["doc_id", "votes", "text"])
     scorer.fit([None if pd.isna(t) else t for t in rows["text"]], model.posterior(unpack(rows["votes"].to_numpy())), p)
     return model, scorer, voted
