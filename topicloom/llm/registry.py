@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import language, near_dup, neighbours, quality, rules
+from topicloom.llm import language, line_dedup, near_dup, neighbours, quality, rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,9 @@ def _(spark, folder):
 @query("op3_adaptive_rules", rules.rules_sql())
 def _(spark, folder):
     return rules.apply_rules(table(spark, folder, "documents"))
+
+
+@query("op8_line_dedup")
+def _(spark, folder):
+    done = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_left"), F.xxhash64("text").alias("text_hash"))
