@@ -65,6 +65,9 @@ class Encoder:
     def __init__(self, model: PieceModel):
         self.model = model
         self.id_of = {p: i for i, p in enumerate(model.pieces) if p}
+        order = sorted({-model.scores[i] for i in self.id_of.values()})
+        place = {score: n - len(order) for n, score in enumerate(order)}  # negative, the best first; 0: no piece
+        self.rank = {p.decode(): place[-model.scores[i]] for p, i in self.id_of.items()}
         self.ids = np.array(sorted(self.id_of.values()), np.int64)
         self.length = np.array([len(p) for p in model.pieces], np.int64)
         self.low = np.array([self.packed(model.pieces[i], 0) for i in self.ids], np.uint64)
@@ -118,7 +121,19 @@ class Encoder:
         if not any(x + y in id_of for x in self.ends[a][0] for y in self.ends[b][1]):
             return True
         pieces = self.model.pieces
-        return self.merged((pieces[a] + pieces[b]).decode()) == [pieces[a], pieces[b]]
+        return self.merged_short((pieces[a] + pieces[b]).decode()) == [pieces[a].decode(), pieces[b].decode()]
+
+    def merged_short(self, text: str) -> list[str]:
+        """The same merges by looking at all neighbours again and again: faster for a few characters."""
+        parts, rank = list(text), self.rank
+        while len(parts) > 1:
+            ranks = [rank.get(x + y, 0) for x, y in zip(parts, parts[1:])]
+            best = min(ranks)
+            if best == 0:
+                break
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
 
     def all_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a * 65536 + b

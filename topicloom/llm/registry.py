@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import language, line_dedup, near_dup, neighbours, quality, rules
+from topicloom.llm import language, line_dedup, mixing, near_dup, neighbours, pieces, quality, rules
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +66,16 @@ def _(spark, folder):
 def _(spark, folder):
     done = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_left"), F.xxhash64("text").alias("text_hash"))
+
+
+@query("op7_sentencepiece")
+def _(spark, folder):
+    model = pieces.load(PIECE_MODEL)
+    done = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
+    return done.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "decodes")
+
+
+@query("op9_mixing")
+def _(spark, folder):
+    rates = mixing.mixing_rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rates.select("doc_id", "domain", "n_tokens", "rate", "copies")
