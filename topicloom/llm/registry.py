@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import language, line_dedup, mixing, near_dup, neighbours, pieces, quality, rules
+from topicloom.llm import language, licences, line_dedup, mixing, near_dup, neighbours, pieces, quality, rules
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -79,3 +79,17 @@ def _(spark, folder):
 def _(spark, folder):
     rates = mixing.mixing_rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return rates.select("doc_id", "domain", "n_tokens", "rate", "copies")
+
+
+@query("op10_licences")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.fit(docs)).drop("text")
+    families = F.array_sort(F.array_distinct(F.transform(F.filter("licences", lambda x: x["confirmed"]), lambda x: x["family"])))
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("licences").cast("long").alias("n_licences"),
+        F.array_join(families, ",").alias("confirmed_families"),
+        F.array_max(F.transform("licences", lambda x: x["chance"])).alias("max_chance"),
+    )
