@@ -216,5 +216,5 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, p: MixParams = MixParams())
 def mix(docs: DataFrame, labels: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """``docs`` with every row as often as its ``copies`` say; all columns stay.  Null ids stay once."""
     changed = mixing_rates(docs, labels, p).where("copies <> 1 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    rows = docs.join(changed, F.col("doc_id") == F.col("_id"), "left")
+    rows = docs.join(changed.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1)))).alias("_n")).drop("_n")
