@@ -250,7 +250,7 @@ def compared(star: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
     chunks = F.ceil(F.col("n") / p.chunk).cast("int")
     members = star.join(sizes, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
     own = sizes.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-    rows = members.union(own).join(texts, "node").select("pivot", "chunk", "node", "text")
+    rows = members.union(own).hint("merge").join(texts, "node").select("pivot", "chunk", "node", "text")
     rows = rows.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", F.col("node") != F.col("pivot"))
     return rows.mapInArrow(compare_with_pivot(p), SHARED)
 
@@ -274,7 +274,7 @@ def ring_links(star: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame
     keys = ["pivot", "ring", "i", "j", "node"]
     # a node that stands on both sides of its block is sent once
     dealt = left.union(right).groupBy(*keys).agg(F.max("outer").alias("outer"))
-    dealt = dealt.join(texts, "node").repartition("pivot", "ring", "i", "j").sortWithinPartitions("pivot", "ring", "i", "j")
+    dealt = dealt.hint("merge").join(texts, "node").repartition("pivot", "ring", "i", "j").sortWithinPartitions("pivot", "ring", "i", "j")
     return dealt.select(*keys, "outer", "text").mapInArrow(compare_rings(p), "a bigint, b bigint")
 
 
@@ -291,8 +291,8 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     classes = named.where("n_shingles > 0").groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     star = materialise(stars(named, classes, p), "stars")
     nodes = star.select("node").union(star.select("pivot")).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    texts = materialise(texts, "suspects")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    texts = materialise(texts, "suspects")  # joined by sorting at every size: what meets them grows with the corpus
     measured = materialise(compared(star, texts, p), "measured")
     linked = 100 * F.col("same") >= p.percent * (F.col("size_pivot") + F.col("size_node") - F.col("same"))
     links = measured.where(linked).select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(ring_links(measured, texts, p))
