@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import language, licences, line_dedup, mixing, near_dup, neighbours, pieces, quality, rules
+from topicloom.llm import language, licences, line_dedup, mixing, near_dup, neighbours, passages, pieces, quality, rules
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -93,3 +93,8 @@ def _(spark, folder):
         F.array_join(families, ",").alias("confirmed_families"),
         F.array_max(F.transform("licences", lambda x: x["chance"])).alias("max_chance"),
     )
+
+
+@query("op6_passages")
+def _(spark, folder):
+    return passages.repeated_passages(table(spark, folder, "documents"))
