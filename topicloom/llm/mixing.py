@@ -23,10 +23,12 @@ from topicloom.runtime import materialise
 
 @dataclass(frozen=True)
 class MixParams:
-    """``weights``: domain (``q<quality>t<toxic>`` of the labels) -> share of the expected tokens; others get 0.
+    """``weights``: domain (``q<quality>t<toxic>`` of the labels) -> share of the expected tokens of those named.
 
-    ``total_tokens`` None: the smallest total at which no domain with a weight has to shrink.  The informative words
-    are chosen on about ``sample_rows`` labelled documents; the classifier's counts take all of them.
+    Domains that are not named keep their tokens.  ``total_tokens`` of those named: None stands for the smallest total at which
+    none has to shrink.  The informative words are chosen on about ``sample_rows`` labelled documents; the
+    classifier's counts take all of them.  The passes end when the targets are met to ``tolerance`` of all tokens, or
+    when a pass moves the expected tokens by less than ``stall`` of them: rates of 0 or more cannot meet every target.
     """
 
     weights: dict[str, float] = field(default_factory=lambda: {"q1t0": 0.78, "q0t0": 0.12, "q1t1": 0.10})
@@ -37,6 +39,7 @@ class MixParams:
     smoothing: float = 1.0
     passes: int = 60
     tolerance: float = 1e-7
+    stall: float = 1e-4
 
 
 # measure -> its numerator, denominator, and the upper limits of its bins
@@ -152,11 +155,11 @@ def with_posteriors(binned: DataFrame, model: dict) -> DataFrame:
 
 def rate(steps: list[list[float]]) -> Column:
     """The rate after all steps: from 1 down each step's slope, never below 0."""
-    r = F.lit(1.0)
-    for step in steps:
-        slope = reduce(lambda a, b: a + b, [F.get("p", F.lit(d)) * v for d, v in enumerate(step)])
-        r = F.greatest(F.lit(0.0), r - slope)
-    return r
+    if not steps:
+        return F.lit(1.0)
+    slope = lambda step: reduce(lambda a, b: a + b, [F.get("p", F.lit(d)) * F.get(step, F.lit(d)) for d in range(len(steps[0]))])
+    numbers = ", ".join("array(" + ", ".join(f"{v!r}D" for v in step) + ")" for step in steps)
+    return F.aggregate(F.expr(f"array({numbers})"), F.lit(1.0), lambda r, step: F.greatest(F.lit(0.0), r - slope(step)))
 
 
 def fit_rates(soft: DataFrame, domains: list[str], p: MixParams) -> tuple[list[list[float]], dict[str, float], dict[str, float]]:
@@ -171,19 +174,19 @@ def fit_rates(soft: DataFrame, domains: list[str], p: MixParams) -> tuple[list[l
         return [], dict(zip(domains, now)), dict(zip(domains, now))
     share = share / share.sum()
     total = p.total_tokens or (now[share > 0] / share[share > 0]).max()
-    target = total * share
+    target = np.where([d in p.weights for d in domains], total * share, now)
     moments = np.zeros((k, k))
     for i, j in pairs:
         moments[i, j] = moments[j, i] = (first[f"m{i}_{j}"] or 0.0) / now.sum()
     inverse = np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
     steps, scale = [], now.sum()
     for _ in range(p.passes):
-        if np.abs(now - target).max() <= p.tolerance * total:
+        if np.abs(now - target).max() <= p.tolerance * scale:
             break
         steps.append((inverse @ ((now - target) / scale)).tolist())
         found = soft.agg(*[F.sum(n * at(d) * rate(steps)).alias(f"s{d}") for d in range(k)]).first()
         after = np.array([found[f"s{d}"] for d in range(k)])
-        if np.abs(after - now).max() <= p.tolerance * total:  # the targets can't be met more closely
+        if np.abs(after - now).max() <= p.stall * scale:
             now = after
             break
         now = after
@@ -215,6 +218,6 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, p: MixParams = MixParams())
 
 def mix(docs: DataFrame, labels: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """``docs`` with every row as often as its ``copies`` say; all columns stay.  Null ids stay once."""
-    changed = mixing_rates(docs, labels, p).where("copies <> 1 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    rows = docs.join(changed.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1)))).alias("_n")).drop("_n")
+    changed = mixing_rates(docs, labels, p).where("copies <> 1 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    rows = docs.join(changed.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
+    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.coalesce("__copies", F.lit(1)))).alias("__n")).drop("__n")
