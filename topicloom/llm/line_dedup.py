@@ -42,26 +42,27 @@ def key(line: Column, i: int, length: Column, start: Column, size: Column) -> Co
     return F.xxhash64(F.lit(i), length, F.substring(line, start + 1, size))
 
 
-def index_keys(line: Column, p: LineParams) -> Column:
-    length = F.length(line)
-    return F.array(*[key(line, i, length, start, size) for i, (start, size) in enumerate(segments(length, p))])
+def index_keys(line: str, n: str, p: LineParams) -> Column:
+    """Keys of the segments of a line of length ``n``."""
+    length = F.col(n)
+    return F.array(*[key(F.col(line), i, length, start, size) for i, (start, size) in enumerate(segments(length, p))])
 
 
-def probe_keys(line: Column, p: LineParams) -> Column:
-    """The substrings of a line that can equal a segment of an indexed line of the same or a smaller length.
+def probe_keys(line: str, n: str, p: LineParams) -> Column:
+    """Keys of the substrings of a line that can equal a segment of an indexed line of the same or a smaller length.
 
     Segment ``i`` counts when it is the first without an edit seen from the left, or from the right: at most ``i``
     edits lie before it and ``edits - i`` after it, both within the difference in length.
     """
-    own, keys = F.length(line), []
+    own, keys = F.col(n), []
     for less in range(p.edits + 1):
         for i, (start, size) in enumerate(segments(own - less, p)):
             low = max(-i, less - (p.edits - i))
             high = min(i, less + (p.edits - i))
             for shift in range(low, high + 1):
                 at = start + shift
-                keys.append(F.when((own - less >= p.min_chars) & (at >= 0) & (at + size <= own), key(line, i, own - less, at, size)))
-    return F.array_compact(F.array(*keys))
+                keys.append(F.when((own - less >= p.min_chars) & (at >= 0) & (at + size <= own), key(F.col(line), i, own - less, at, size)))
+    return F.array(*keys)
 
 
 def shared_prefix(a: Column, b: Column, limit: Column) -> Column:
@@ -120,19 +121,31 @@ def considered(line: Column, p: LineParams) -> Column:
     return (F.length(line) >= p.min_chars) & has_word(line)
 
 
-def near_pairs(docs: DataFrame, p: LineParams) -> DataFrame:
-    """Links between distinct lines within the bound: ``(h_a, doc_a, h_b, doc_b)``, each with its first document."""
-    lines = lines_in(docs).where(considered(F.col("line"), p)).groupBy("line").agg(F.min("doc_id").alias("doc"))
-    h = F.xxhash64("line")
-    index = lines.select(h.alias("h_a"), F.col("doc").alias("doc_a"), F.explode(index_keys(F.col("line"), p)).alias("k"))
-    probe = lines.select(h.alias("h_b"), F.col("doc").alias("doc_b"), F.explode(probe_keys(F.col("line"), p)).alias("k"))
-    met = index.join(probe, "k").where("h_a <> h_b").select("h_a", "doc_a", "h_b", "doc_b").distinct()
-    met = materialise(met, "met-lines")
-    wanted = met.select(F.col("h_a").alias("h"), F.col("doc_a").alias("doc_id")).union(met.select("h_b", "doc_b")).distinct()
-    of_docs = wanted.groupBy("doc_id").agg(F.collect_set("h").alias("hs"))  # lines of one document
-    texts = lines_in(docs.join(of_docs, "doc_id").select("doc_id", "text", "hs").withColumn("text", keep_lines("text", "hs")))
-    texts = materialise(texts.select(F.xxhash64("line").alias("h"), "line").dropDuplicates(["h"]), "met-texts")
-    pairs = met.join(texts.select(F.col("h").alias("h_a"), F.col("line").alias("a")), "h_a").join(texts.select(F.col("h").alias("h_b"), F.col("line").alias("b")), "h_b")
+def near_pairs(docs: DataFrame, firsts: DataFrame, p: LineParams) -> DataFrame:
+    """Links between distinct lines within the bound: ``(h_a, doc_a, h_b, doc_b)``, each with its first document.
+
+    ``firsts``: ``(h, g, first, n)`` of every distinct line.  Lines that make up a thousandth of all, of which there
+    are a thousand at most, are keyed in their first document only; what is left of repeated keys is dropped where they meet.
+    """
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    hot = firsts.where(F.col("n") * 1000 >= total).where("n > 1").select(F.col("h").alias("_h"), F.col("first").alias("_first")).limit(1000)
+    own_lines = docs.select("doc_id", F.explode(F.array_distinct(lines_of("text"))).alias("line"))
+    lines = own_lines.where(considered(F.col("line"), p)).select("doc_id", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
+    lines = lines.join(F.broadcast(hot), F.col("h") == F.col("_h"), "left").where("_first IS NULL OR _first = doc_id").select("line", "n", "h")
+    keyed = lambda keys, h: lines.select(F.col("h").alias(h), F.explode(keys).alias("k")).where("k IS NOT NULL").repartition("k").dropDuplicates(["k", h])
+    met = keyed(index_keys("line", "n", p), "h_a").join(keyed(probe_keys("line", "n", p), "h_b"), "k").where("h_a <> h_b")
+    met = materialise(met.select("h_a", "h_b").distinct(), "met-lines")
+    wanted = met.select(F.col("h_a").alias("h")).union(met.select("h_b")).distinct()
+    places = materialise(firsts.join(wanted, "h").groupBy("h").agg(F.min("first").alias("doc")), "met-places")
+    of_docs = places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("h").alias("hs"))  # lines of one document
+    texts = docs.join(of_docs.hint("merge"), "doc_id").select("doc_id", keep_lines("text", "hs").alias("text"))
+    texts = lines_in(texts).select(F.xxhash64("line").alias("h"), "line").dropDuplicates(["h"]).join(places, "h")
+    texts = materialise(texts, "met-texts")
+    of = lambda x: texts.select(F.col("h").alias(f"h_{x}"), F.col("doc").alias(f"doc_{x}"), F.col("line").alias(x))
+    half = met.join(of("a"), "h_a").alias("x")
+    # pairs far beyond the bound end inside the join, so that only few leave it
+    close = F.levenshtein("a", "b", p.edits) >= 0
+    pairs = half.join(of("b").withColumnRenamed("h_b", "_h"), (F.col("h_b") == F.col("_h")) & close).drop("_h")
     return edit_distance(pairs, "a", "b", p.edits).where(F.col("distance") <= p.edits).select("h_a", "doc_a", "h_b", "doc_b")
 
 
@@ -150,9 +163,9 @@ def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     identity = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
     seen = lines_in(docs).where(considered(F.col("line"), p)).where("doc_id IS NOT NULL").select("doc_id", "at", *identity)
     seen = materialise(seen, "lines")
-    firsts = seen.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = materialise(seen.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "first-lines")
     repeated = firsts.where("n > 1").select("h", "g", "first")
-    links = materialise(near_pairs(docs.where("doc_id IS NOT NULL"), p), "near-lines")
+    links = materialise(near_pairs(docs.where("doc_id IS NOT NULL"), firsts, p), "near-lines")
     # within one document the place decides
     spots = seen.join(links.where("doc_a = doc_b").select(F.col("h_a").alias("h")).union(links.where("doc_a = doc_b").select("h_b")).distinct(), "h", "left_semi")
     spots = spots.groupBy("doc_id", "h").agg(F.min("at").alias("at"))
@@ -176,11 +189,11 @@ def dedup_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     the same lines.  Columns of the two added names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    drop = dropped_lines(docs.select("doc_id", "text"), p).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(*kept).join(drop, F.col("doc_id") == F.col("_id"), "left")
+    drop = dropped_lines(docs.select("doc_id", "text"), p).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
+    rows = docs.select(*kept).join(drop.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
     lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("drop", i)), "\n")
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(left)
+    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("__drop", i)), "\n")
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(left)
     out = [text.alias(c) if c == "text" else F.col(c) for c in kept]
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return rows.select(*out, n.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return rows.select(*out, n.alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
