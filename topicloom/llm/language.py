@@ -153,7 +153,7 @@ def predict(docs: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
     def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            chosen = [(i, t.encode()) for i, t in enumerate(texts) if t is not None and labels]
+            chosen = [(i, t.encode()) for i, t in enumerate(texts) if isinstance(t, str) and labels]
             for i, data in chosen:
                 total, size = np.zeros(len(labels)), 0
                 for start in range(0, len(data), window << 12):  # bounded memory, also for very long texts

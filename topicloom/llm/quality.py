@@ -177,7 +177,7 @@ def with_votes(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("int")
     def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(vote_key, na_action=None).astype(np.int32)
+        return pd.Series([vote_key(t if isinstance(t, str) else None) for t in texts], dtype=np.int32)
 
     return docs.withColumn("votes", packed(F.col(text)))
 
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, p: QualityParams = QualityParams()) -> tuple[LabelModel
     picked = F.broadcast(voted.where(chosen).limit(2 * p.sample_rows))
     rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "votes", "text").limit(4 * p.sample_rows).toPandas()
     rows = rows.sort_values(["doc_id", "votes", "text"])
-    scorer.fit([None if pd.isna(t) else t for t in rows["text"]], model.posterior(unpack(rows["votes"].to_numpy())), p)
+    scorer.fit([t if isinstance(t, str) else None for t in rows["text"]], model.posterior(unpack(rows["votes"].to_numpy())), p)
     return model, scorer, voted
 
 
@@ -224,7 +224,7 @@ def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, p: QualityParam
         own = Scorer(bits)
         own.weights, own.bias = weights, bias
         for texts in parts:
-            texts = [None if t is None or t is pd.NA else t for t in texts]
+            texts = [t if isinstance(t, str) else None for t in texts]
             keys = np.array([vote_key(t) for t in texts], dtype=np.int64)
             yield pd.DataFrame({"votes": keys.astype(np.int32), "label": labels.posterior(unpack(keys)), "score": [own.score(t) for t in texts]})
 
