@@ -8,12 +8,14 @@ mean over them, weighted by their bytes.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,3 +169,7 @@ def predict(docs: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
     lettered = F.when(has_letter(text), F.col(text))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*kept, guess(lettered).alias("_guess")).select(*kept, "_guess.lang_pred", "_guess.score")
+
+
+# workers get this module's functions with the task, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

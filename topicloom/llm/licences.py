@@ -10,11 +10,13 @@ score is its negative bias, so they have no licence, and the search for such n-g
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,14 +245,12 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text") -> DataFrame:
     The place is that of the line, from 0.  Null and empty texts have no paragraph.  Ties between families go to the name that
     sorts first.  Columns of the two names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     least = model.p.min_similarity
 
     @F.pandas_udf(f"n_paragraphs bigint, licences {FOUND}")
     def look(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
         for texts in parts:
-            rows = [own.scan(t if isinstance(t, str) else None) for t in texts]
+            rows = [model.scan(t if isinstance(t, str) else None) for t in texts]
             yield pd.DataFrame({
                 "n_paragraphs": [n for n, _ in rows],
                 "licences": [[{"paragraph": a, "family": f, "chance": c, "similarity": s, "confirmed": s >= least} for a, f, c, s in found] for _, found in rows],
@@ -258,3 +258,7 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text") -> DataFrame:
 
     kept = [c for c in docs.columns if c not in ("n_paragraphs", "licences")]
     return docs.select(*kept, look(F.col(text)).alias("_found")).select(*kept, "_found.*")
+
+
+# workers get this module's functions with the task, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

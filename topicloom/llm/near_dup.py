@@ -13,12 +13,14 @@ compared, in blocks of bounded size.  All comparisons use the full sets.  Links
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -303,3 +305,7 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     return rows.join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, label).otherwise(F.col("doc_id")).alias("component_id")
     ).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+# workers get this module's functions with the task, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -13,10 +13,12 @@ second step keeps the best ``k`` of all blocks.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,3 +187,7 @@ def nearest(vectors: DataFrame, is_query, p: NeighbourParams = NeighbourParams()
     found = left.cogroup(right).applyInArrow(search_block(codes, p.k), OUT)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", place).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+
+
+# workers get this module's functions with the task, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

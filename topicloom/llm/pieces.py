@@ -11,11 +11,13 @@ give exactly when each neighbouring two of them are, so every position is reache
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -309,15 +311,13 @@ def byte_table(model: PieceModel) -> list[bytes]:
     return table
 
 
-_ENCODERS: dict[int, Encoder] = {}  # one for each worker process and model, kept between tasks
-
-
 def encoder_of(model: PieceModel) -> Encoder:
-    mark = hash((model.pieces, model.scores, model.byte_ids))
-    if mark not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[mark] = Encoder(model)
-    return _ENCODERS[mark]
+    """One encoder for each worker process and model, kept between tasks with the words it knows."""
+    mark, kept = hash((model.pieces, model.scores, model.byte_ids)), sys.__dict__.setdefault("_piece_encoder", {})
+    if mark not in kept:
+        kept.clear()
+        kept[mark] = Encoder(model)
+    return kept[mark]
 
 
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", rows: int = 1024) -> DataFrame:
@@ -327,16 +327,17 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", rows: int = 1
     write for a blank counts as one.  Columns of the three names are replaced.
     """
     kept = [c for c in docs.columns if c not in (text, "ids", "n_tokens", "decodes")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.pieces, model.scores, model.byte_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = encoder_of(shared.value), byte_table(shared.value)
+        own = PieceModel(*shared.value)
+        encoder, table = encoder_of(own), byte_table(own)
         for batch in batches:
             for start in range(0, len(batch), rows):
                 part = batch.slice(start, rows)
                 texts = part.column(0).to_pylist()
                 ids = encoder.encode(texts)
-                back = [None if t is None else decoded(shared.value, i, table) == t.replace(SPACE, " ") for t, i in zip(texts, ids)]
+                back = [None if t is None else decoded(own, i, table) == t.replace(SPACE, " ") for t, i in zip(texts, ids)]
                 sizes = [0 if i is None else len(i) for i in ids]
                 flat = pa.array(np.concatenate([i for i in ids if i is not None] or [np.zeros(0, "<u2")]).astype(np.int32))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -352,12 +353,17 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", rows: int = 1
 
 def decode(encoded: DataFrame, model: PieceModel, ids: str = "ids", text: str = "text") -> DataFrame:
     """``encoded`` with the text of its ids in place of them; null ids give a null text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    shared = encoded.sparkSession.sparkContext.broadcast((model.pieces, model.scores, model.byte_ids))
 
     @F.pandas_udf("string")
     def back(column):
-        table = byte_table(shared.value)
-        return column.map(lambda x: None if x is None else decoded(shared.value, np.asarray(x, np.int64), table))
+        own = PieceModel(*shared.value)
+        table = byte_table(own)
+        return column.map(lambda x: None if x is None else decoded(own, np.asarray(x, np.int64), table))
 
     kept = [c for c in encoded.columns if c not in (ids, text)]
     return encoded.select(*kept, back(F.col(ids)).alias(text))
+
+
+# workers get this module's functions with the task, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,12 +9,14 @@ bounded sample.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,17 +218,17 @@ def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, p: QualityParam
     no words, so they get the scorer's bias and are not kept.  Columns of the same names are replaced.
     """
     added = ("votes", "label", "score", "kept")
-    shared = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias, scorer.bits, model))
+    shared = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias, scorer.bits))
 
     @F.pandas_udf("votes int, label double, score double")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        weights, bias, bits, labels = shared.value
+        weights, bias, bits = shared.value
         own = Scorer(bits)
         own.weights, own.bias = weights, bias
         for texts in parts:
             texts = [t if isinstance(t, str) else None for t in texts]
             keys = np.array([vote_key(t) for t in texts], dtype=np.int64)
-            yield pd.DataFrame({"votes": keys.astype(np.int32), "label": labels.posterior(unpack(keys)), "score": [own.score(t) for t in texts]})
+            yield pd.DataFrame({"votes": keys.astype(np.int32), "label": model.posterior(unpack(keys)), "score": [own.score(t) for t in texts]})
 
     kept = [c for c in docs.columns if c not in added]
     rows = docs.select(*kept, judge(F.col(text)).alias("_judged")).select(*kept, "_judged.*")
@@ -237,3 +239,7 @@ def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, p: QualityParam
 def agreement(scored: DataFrame, truth: DataFrame, label: Column) -> DataFrame:
     """Documents by true label and verdict, for a look at held-out rows."""
     return scored.join(truth, "doc_id").groupBy(label.alias("truth"), "kept").count()
+
+
+# workers get this module's functions with the task, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
