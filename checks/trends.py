@@ -199,9 +199,7 @@ def _(spark, folder):
 
 @query("chart_extents", f"{STACK} SELECT (SELECT min(date) FROM series) AS first_date, (SELECT max(date) FROM series) AS last_date, (SELECT max(v) FROM (SELECT sum(value) AS v FROM series GROUP BY date)) AS max_value, (SELECT max(y0 + y) FROM stacked) AS max_stack")
 def _(spark, folder):
-    series = series_of(spark, folder)
-    yearly = series.groupBy("date").agg(F.sum("value").alias("value"))
-    return chart.chart_extents(yearly, chart.stack_layers(series))
+    return chart.chart_extents(chart.stack_layers(series_of(spark, folder)))
 
 
 @query(

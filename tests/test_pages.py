@@ -90,3 +90,21 @@ def test_preview_and_profile(spark):
     assert shapes == {1: ("T & U", 2), 2: ("No title", 0)}
     counts = {r.page_id: r.n_links for r in links.links_per_page(pages, "/c/", "/years/").collect()}
     assert counts == {1: 7, 2: 0}
+
+
+def test_a_new_anchor_ends_an_open_one(spark):
+    from topicloom.operators.links import explode_anchors
+
+    pages = spark.createDataFrame([(1, '<a href="/x/1">one <a href="/x/2">two</a><a href="/x/3">three')], "page_id long, html string")
+    rows = explode_anchors(pages).orderBy("position").collect()
+    assert [(r["href"], r["text"]) for r in rows] == [("/x/1", "one"), ("/x/2", "two"), ("/x/3", "three")]
+
+
+def test_repeated_page_gives_one_case(spark):
+    from topicloom.plans.collect import extract_text
+
+    html = "<p>" + "word " * 40 + "</p>"
+    pages = spark.createDataFrame([(1, "u", html), (1, "u", html), (1, "v", html)], "page_id long, url string, html string")
+    cases = spark.createDataFrame([("u",), ("w",)], "case_url string")
+    got = {r["case_url"]: r["case_text"] for r in extract_text(cases, pages).collect()}
+    assert extract_text(cases, pages).count() == 2 and got["u"].startswith("word") and got["w"] == ""

@@ -48,8 +48,7 @@ def test_stack_is_consistent(spark):
     stacked = chart.stack_layers(series)
     last = {r["date"]: r["y0"] + r["y"] for r in stacked.where("key = 2").collect()}
     assert last == {r["date"]: r["s"] for r in series.groupBy("date").agg(F.sum("value").alias("s")).collect()}
-    yearly = series.groupBy("date").agg(F.sum("value").alias("value"))
-    assert tuple(chart.chart_extents(yearly, stacked).first()) == ("2000", "2002", 9.0, 9.0)
+    assert tuple(chart.chart_extents(stacked).first()) == ("2000", "2002", 9.0, 9.0)
     assert {(r["key"], r["date"]) for r in chart.first_per_key(series).collect()} == {(k, "2000") for k in range(3)}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-ANCHOR = r"(?is)<a(?=[\s>]).*?(?:</a>|$)"
+ANCHOR = r"(?is)<a(?=[\s>]).*?(?:</a>|(?=<a[\s>])|$)"  # a new anchor ends an open one
 OPEN_TAG = r"(?is)^<[^>]*>"
 HREF = r"""(?is)^<a\s(?:[^>]*\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 ANY_TAG = r"(?s)<[^>]*>"

@@ -37,9 +37,9 @@ def first_per_key(trend: DataFrame, key: str = "key", date: str = "date") -> Dat
     return trend.groupBy(key).agg(first).select(key, "_first.*").select(*trend.columns)
 
 
-def chart_extents(yearly: DataFrame, stacked: DataFrame) -> DataFrame:
-    """Axis limits: first and last date, largest yearly value, highest stack."""
-    dates = yearly.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max("value").alias("max_value"))
-    tops = stacked.agg(F.max(F.col("y0") + F.col("y")).alias("max_stack"))
-    one = F.lit(1).alias("_one")
-    return dates.select(one, "*").join(tops.select(one, "*"), "_one").drop("_one")
+def chart_extents(stacked: DataFrame) -> DataFrame:
+    """Axis limits: first and last date, largest yearly value, highest stack; one pass over the layers."""
+    per_date = stacked.groupBy("date").agg(F.sum("y").alias("value"), F.max(F.col("y0") + F.col("y")).alias("top"))
+    return per_date.agg(
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max("value").alias("max_value"), F.max("top").alias("max_stack")
+    )

@@ -24,8 +24,9 @@ def extract_text(case_urls: DataFrame, pages: DataFrame) -> DataFrame:
     """
     wanted = case_urls.select(F.col("case_url").alias("url"))
     chosen = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).join(wanted, "url", "left_semi")
-    texts = page_text(pages.join(chosen.select("page_id"), "page_id", "left_semi").select("url", "html"), key="url")
-    found = texts.select(F.col("url").alias("case_url"), "case_text")
+    texts = page_text(pages.join(chosen, ["url", "page_id"], "left_semi").select("url", "html"), key="url")
+    # rows that repeat both address and id are one page
+    found = texts.groupBy(F.col("url").alias("case_url")).agg(F.min("case_text").alias("case_text"))
     return case_urls.join(found, "case_url", "left").na.fill("", ["case_text"])
 
 
