@@ -10,6 +10,7 @@ verified with a banded bit-parallel edit distance (Hyyro, 2003).  Everything is
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +66,22 @@ def probe_keys(line: str, n: str, p: LineParams) -> Column:
     return F.array(*keys)
 
 
+LETTERS = "enitaros"  # frequent ones; any eight serve
+
+
+def letter_counts(line: Column) -> Column:
+    """How often eight letters occur, a byte each."""
+    one = lambda i, c: F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255)), 8 * i)
+    return reduce(lambda a, b: a.bitwiseOR(b), [one(i, c) for i, c in enumerate(LETTERS)])
+
+
+def counts_apart(a: str, b: str) -> Column:
+    """Sum of the differences of two letter counts; an edit adds two at most."""
+    at = lambda x, i: F.shiftrightunsigned(F.col(x), 8 * i).bitwiseAND(F.lit(255))
+    apart = lambda i: F.least(F.abs(at(a, i) - at(b, i)), 256 - F.abs(at(a, i) - at(b, i)))
+    return reduce(lambda x, y: x + y, [apart(i) for i in range(len(LETTERS))])
+
+
 def shared_prefix(a: Column, b: Column, limit: Column) -> Column:
     """Characters that two strings share at their start, up to ``limit``: halving steps over substrings."""
     steps = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.pow(F.lit(2), 30 - i).cast("int"))
@@ -131,9 +148,16 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, p: LineParams) -> DataFrame:
     hot = firsts.where(F.col("n") * 1000 >= total).where("n > 1").select(F.col("h").alias("_h"), F.col("first").alias("_first")).limit(1000)
     own_lines = docs.select("doc_id", F.explode(F.array_distinct(lines_of("text"))).alias("line"))
     lines = own_lines.where(considered(F.col("line"), p)).select("doc_id", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
-    lines = lines.join(F.broadcast(hot), F.col("h") == F.col("_h"), "left").where("_first IS NULL OR _first = doc_id").select("line", "n", "h")
-    keyed = lambda keys, h: lines.select(F.col("h").alias(h), F.explode(keys).alias("k")).where("k IS NOT NULL").repartition("k").dropDuplicates(["k", h])
-    met = keyed(index_keys("line", "n", p), "h_a").join(keyed(probe_keys("line", "n", p), "h_b"), "k").where("h_a <> h_b")
+    lines = lines.join(F.broadcast(hot), F.col("h") == F.col("_h"), "left").where("_first IS NULL OR _first = doc_id")
+    lines = lines.select("line", "n", "h", letter_counts(F.col("line")).alias("c"))
+
+    def keyed(keys: Column, x: str) -> DataFrame:
+        rows = lines.select(F.col("h").alias(f"h_{x}"), F.col("c").alias(f"c_{x}"), F.explode(keys).alias("k")).where("k IS NOT NULL")
+        return rows.repartition("k").dropDuplicates(["k", f"h_{x}"])
+
+    # lines of one form that differ by a word or more meet on many segments; most end here, as their letters differ
+    met = keyed(index_keys("line", "n", p), "a").join(keyed(probe_keys("line", "n", p), "b"), "k").where(F.col("h_a") != F.col("h_b"))
+    met = met.where(counts_apart("c_a", "c_b") <= 2 * p.edits)
     met = materialise(met.select("h_a", "h_b").distinct(), "met-lines")
     wanted = met.select(F.col("h_a").alias("h")).union(met.select("h_b")).distinct()
     places = materialise(firsts.join(wanted, "h").groupBy("h").agg(F.min("first").alias("doc")), "met-places")
