@@ -98,6 +98,41 @@ def test_passages_planted(spark):
     assert by[3]["start"] <= 6 and by[3]["matched"] >= 80 and by[7]["exact_copy"]
 
 
+def test_passages_between_other_words(spark):
+    """Exact passages stay whatever lies between them, and where their k-mers repeat."""
+    rng = random.Random(10)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    x, y = fresh(60), fresh(60)
+    texts = [x + fresh(100) + y, x + fresh(100) + y]
+    stray, z = fresh(8), fresh(60)
+    texts += [stray + fresh(70) + z, stray + fresh(62) + z]
+    twice = fresh(60)
+    texts += [fresh(9) + twice, twice[20:32] + fresh(30) + twice + fresh(30) + twice]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = defaultdict(set)
+    for r in passages.repeated_passages(docs).collect():
+        got[r["doc_id"], r["other_id"]].add((r["start"], r["end"], r["other_start"], r["other_end"]))
+    assert got[1, 0] == {(0, 60, 0, 60), (160, 220, 160, 220)}
+    assert got[3, 2] == {(70, 130, 78, 138)}
+    assert got[5, 4] == {(42, 102, 9, 69), (132, 192, 9, 69)}
+
+
+def test_common_words_of_long_gaps():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**63, 2000, dtype=np.uint64)
+    b = np.delete(a, np.arange(0, 2000, 10))
+    assert passages.common_words(a, b) == 1800 and passages.common_words(a[:3], a[5:9]) == 0
+    for _ in range(20):
+        x, y = rng.integers(0, 5, 30).astype(np.uint64), rng.integers(0, 5, 25).astype(np.uint64)
+        row = [0] * 26
+        for w in x:
+            new = [0]
+            for c, v in enumerate(y):
+                new.append(row[c] + 1 if w == v else max(row[c + 1], new[-1]))
+            row = new
+        assert passages.common_words(x, y) == row[-1]
+
+
 def test_passages_odd_rows(odd, none):
     rows = passages.repeated_passages(odd).collect()
     assert {(r["doc_id"], r["other_id"]) for r in rows} == {(7, 6)}
