@@ -117,6 +117,19 @@ def test_passages_between_other_words(spark):
     assert got[5, 4] == {(42, 102, 9, 69), (132, 192, 9, 69)}
 
 
+def test_passages_whose_parts_lie_in_earlier_documents(spark):
+    """Every seed, and every span of 40 words, is first in a document without the passage."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    whole, longer = fresh(60), fresh(60)
+    texts = [fresh(60) + whole[i : i + 24] for i in range(0, 37, 4)] + [fresh(60) + longer[i : i + 44] for i in range(0, 17, 4)]
+    texts += [fresh(5) + x + fresh(7) for x in (whole, longer) for _ in range(2)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in passages.repeated_passages(docs).collect()}
+    n = len(texts) - 4
+    assert got == {(n + 1, n, 5, 65), (n + 3, n + 2, 5, 65)}
+
+
 def test_common_words_of_long_gaps():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 2000, dtype=np.uint64)
