@@ -130,6 +130,26 @@ def test_passages_whose_parts_lie_in_earlier_documents(spark):
     assert got == {(n + 1, n, 5, 65), (n + 3, n + 2, 5, 65)}
 
 
+def test_passages_with_many_changes(spark):
+    """Recall at several distances of changed words; passages of 100 words in documents of 180."""
+    rng = random.Random(1)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    texts, step_of = [], {}
+    for step in (5, 6, 8, 10, 15):
+        for _ in range(20):
+            x = fresh(100)
+            y = [w if (i + 1) % step else f"z{rng.randrange(10**7)}" for i, w in enumerate(x)]
+            step_of[len(texts) + 1, len(texts)] = step
+            texts += [fresh(40) + x + fresh(40), fresh(20) + y + fresh(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(docs).collect()}
+    assert got <= set(step_of)
+    hits = defaultdict(int)
+    for pair in got:
+        hits[step_of[pair]] += 1
+    assert min(hits[s] for s in (8, 10, 15)) >= 19 and min(hits[5], hits[6]) >= 16
+
+
 def test_common_words_of_long_gaps():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 2000, dtype=np.uint64)
