@@ -27,7 +27,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat earlier ones; documents of which nothing with a word is left go."""
-    done = line_dedup.dedup_lines(docs)
+    done = line_dedup.dedup_lines(docs, line_dedup.EVERY_LINE)
     left = done.where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

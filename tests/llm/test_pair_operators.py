@@ -243,6 +243,14 @@ def test_lines_equal_brute_force(spark):
     assert got == lines_by_hand(texts)
 
 
+def test_short_lines_that_repeat(spark):
+    """Exact repeats go at every length; short lines within two edits are different lines."""
+    texts = [(1, "Menu\nHome\n\nyes\nMenu"), (2, "Menu\nHose\n\nno\nyes"), (3, "--\n \nno\n--\nMENU")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs, line_dedup.EVERY_LINE).collect()}
+    assert got == {1: ("Menu\nHome\n\nyes", 1), 2: ("Hose\n\nno", 2), 3: ("--\n \nMENU", 2)}
+
+
 def test_lines_odd_rows(odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [c for c in odd.columns if c != "n_lines"] + ["n_lines", "n_dropped"]

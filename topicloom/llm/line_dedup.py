@@ -21,10 +21,22 @@ from topicloom.runtime import materialise, once
 
 @dataclass(frozen=True)
 class LineParams:
-    """Lines shorter than ``min_chars`` are left alone: they are headings and answers more often than boilerplate."""
+    """Lines shorter than ``min_chars`` are not compared within edits: two edits make another word of a short one.
+
+    Those of ``min_exact`` characters or more go when they equal an earlier line; ``min_chars`` holds for these too where it is None.
+    """
 
     edits: int = 2
     min_chars: int = 20
+    min_exact: int | None = None
+
+    @property
+    def least(self) -> int:
+        return self.min_chars if self.min_exact is None else min(self.min_exact, self.min_chars)
+
+
+# exact repeats at every length, as the query and the pipeline run it
+EVERY_LINE = LineParams(min_exact=1)
 
 
 def segments(length: Column, p: LineParams) -> list[tuple[Column, Column]]:
@@ -181,11 +193,12 @@ def keep_lines(text: str, hashes: str) -> Column:
 def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """``(doc_id, drop)``: for documents that lose lines, the 0-based places of those.
 
-    A line goes when it equals an earlier line, or is within ``edits`` of an earlier distinct one.  Lines are ordered by
+    A line goes when it equals an earlier line, or, from ``min_chars`` on, is within ``edits`` of an earlier distinct one.  Lines are ordered by
     ``doc_id`` and place; a distinct line counts where it is first.
     """
     identity = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
-    seen = lines_in(docs).where(considered(F.col("line"), p)).where("doc_id IS NOT NULL").select("doc_id", "at", *identity)
+    exact = (F.length("line") >= p.least) & has_word(F.col("line"))
+    seen = lines_in(docs).where(exact).where("doc_id IS NOT NULL").select("doc_id", "at", *identity)
     seen = materialise(seen, "lines")
     firsts = materialise(seen.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "first-lines")
     repeated = firsts.where("n > 1").select("h", "g", "first")
@@ -208,7 +221,7 @@ def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
 def dedup_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines``, ``n_dropped``.
 
-    Lines without a word or shorter than ``min_chars`` stay.  Null and empty texts stay as they are (0 and 1 lines); a
+    Lines without a word or shorter than the bounds stay.  Null and empty texts stay as they are (0 and 1 lines); a
     null ``doc_id`` keeps all its lines and drops nobody else's.  Rows that repeat an id are one document with the same text: each loses
     the same lines.  Columns of the two added names are replaced.
     """

@@ -64,7 +64,7 @@ def _(spark, folder):
 
 @query("op8_line_dedup")
 def _(spark, folder):
-    done = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    done = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), line_dedup.EVERY_LINE)
     return done.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_left"), F.xxhash64("text").alias("text_hash"))
 
 
