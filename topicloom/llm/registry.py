@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import language, licences, line_dedup, mixing, near_dup, neighbours, passages, pieces, quality, rules
+from topicloom.llm import divergence, language, licences, line_dedup, mixing, near_dup, neighbours, packing, passages, pieces, quality, rules, vector_codes
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+WORD_MODEL = "/opt/tokenizers/word_bpe_49k.json"
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +99,21 @@ def _(spark, folder):
 @query("op6_passages")
 def _(spark, folder):
     return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op12_source_divergence", divergence.audit_sql())
+def _(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@query("op13_packing")
+def _(spark, folder):
+    placed = packing.pack(table(spark, folder, "documents").select("doc_id", "text"), WORD_MODEL)
+    return placed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op11_vector_codes", vector_codes.codes_sql())
+def _(spark, folder):
+    codes, books = vector_codes.compress(table(spark, folder, "embeddings"))
+    done = vector_codes.with_label_errors(codes)
+    return done.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
