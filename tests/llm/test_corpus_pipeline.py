@@ -5,7 +5,7 @@ from topicloom.llm import registry
 
 
 def test_names():
-    assert [n.split("_")[0] for n in registry.QUERIES if n.startswith("op")] and len({n.split("_")[0] for n in registry.QUERIES}) == 10
+    assert [n.split("_")[0] for n in registry.QUERIES if n.startswith("op")] and len({n.split("_")[0] for n in registry.QUERIES}) == 13
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "mixing", "sentencepiece"]
 
 

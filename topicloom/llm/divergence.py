@@ -133,9 +133,10 @@ def one_hot_product(column: np.ndarray, source: np.ndarray, count: np.ndarray, l
 
 
 def share(count: str, total: str, terms: str, p: DivergenceParams) -> Column:
-    """``1 + floor(scale * (count + smoothing) / (total + smoothing * terms))`` in whole numbers, exact at any size."""
+    """``1 + floor(scale * (count + smoothing) / (total + smoothing * terms))`` in whole numbers, exact at any size;
+    null without terms."""
     above = f"cast({p.scale} as decimal(18,0)) * cast({count} + {p.smoothing} as decimal(20,0))"
-    return F.expr(f"1 + cast({above} div cast({total} + {p.smoothing} * {terms} as decimal(20,0)) as bigint)")
+    return F.expr(f"1 + cast({above} div cast(nullif({total} + {p.smoothing} * {terms}, 0) as decimal(20,0)) as bigint)")
 
 
 def price(a: str, b: str) -> Column:
