@@ -10,14 +10,16 @@ that stays open is cut into lengths that are powers of two, which need no paddin
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
+from pyspark import Broadcast, TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from topicloom.runtime import materialise
 ID_BYTES = 4  # of an id as written: unsigned, little-endian
 PART_BITS = 37  # a sequence's number: the task or group above these bits, its count below
 OUT_BYTES = 32 << 20
+TEXT_BYTES = 4 << 20  # of texts that are cut together
 
 
 @dataclass(frozen=True)
@@ -40,33 +43,181 @@ class PackParams:
     kept_words: int = 400_000
 
 
+# How a tokenizer of this kind prepares a text and where it cuts it.
+NORMAL = ["NFC", "Replace", "Lowercase"]
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+END = "</w>"
+PARTS_AT_ONCE = 2000
+
+# Bytes of the texts whose cuts are found by their bytes: ASCII and the letters of Latin-1, which normal form and
+# lower case leave among themselves.  A letter beyond ASCII is LEAD and a byte after it.
+BLANK, LETTER, DIGIT, SIGN, AFTER, ODD = range(6)
+LEAD = 0xC3
+KIND = np.full(256, ODD, np.uint8)
+KIND[0x21:0x7F], KIND[0x80:0xC0], KIND[[9, 10, 11, 12, 13, 32]] = SIGN, AFTER, BLANK
+KIND[ord("0") : ord("9") + 1], KIND[ord("A") : ord("Z") + 1], KIND[ord("a") : ord("z") + 1], KIND[LEAD] = DIGIT, LETTER, LETTER, LETTER
+BLANKS = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def plain(data: np.ndarray) -> np.ndarray:
+    """Where bytes are none of a plain text: odd ones, half letters, the signs of times and division."""
+    kind = KIND[data]
+    after_lead = np.r_[False, data[:-1] == LEAD]
+    return (kind == ODD) | ((kind == AFTER) != after_lead) | after_lead & ((data == 0x97) | (data == 0xB7))
+
+
+def cut_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``data`` in lower case, and where its parts start: runs of letters, single digits, runs of signs, and
+    the endings that an apostrophe opens.  Blanks belong to no part."""
+    kind = KIND[data]
+    after = kind == AFTER
+    low = data + 32 * (((data >= 0x41) & (data <= 0x5A)) | after & (data <= 0x9E)).astype(np.uint8)
+    kind[after] = LETTER
+    start = (np.r_[np.uint8(BLANK), kind[:-1]] != kind) & (kind != BLANK) | (kind == DIGIT)
+    at = np.flatnonzero((low == ord("'")) & start)
+    if len(at):
+        ahead = np.concatenate([low, np.zeros(3, np.uint8)])
+        one, two = ahead[at + 1], ahead[at + 2]
+        size = np.where(np.isin(one, np.frombuffer(b"stmd", np.uint8)), 1, 0)
+        size[((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))] = 2
+        at, size = at[size > 0], size[size > 0]
+        start[at + 1] = False
+        rest = at + 1 + size
+        rest = rest[rest < len(low)]
+        start[rest[kind[rest] == LETTER]] = True
+    return low, start
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer that never joins what ASCII blanks part.
 
-    Every distinct word between blanks is encoded once by the library and remembered as written ids; when
-    ``kept_words`` are remembered, all are forgotten.
+    Where the tokenizer cuts texts by ``CUTS``, plain texts are cut by their bytes, and every distinct part is
+    encoded once by the library, many in one text.  Other texts go to it word by word between blanks, each
+    distinct word once.  When ``kept_words`` parts are remembered, all are forgotten.  Sent as a
+    broadcast value, an object serves all tasks of its worker: what is remembered stays behind when
+    it is pickled.
     """
 
     def __init__(self, path: str, kept_words: int):
+        self.__setstate__((path, kept_words))
+
+    def __getstate__(self) -> tuple[str, int]:
+        return self.path, self.kept_words
+
+    def __setstate__(self, state: tuple[str, int]) -> None:
+        self.path, self.kept_words = state
+        self.tokenizer, self.ends, self.words, self.parts = None, None, {}, {}
+
+    def open(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept_words, self.known = Tokenizer.from_file(path), kept_words, {}
+        self.tokenizer = Tokenizer.from_file(self.path)
+        made = json.loads(self.tokenizer.to_str())
+        normal = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        cuts = [c.get("pattern", {}).get("Regex") for c in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if normal == NORMAL and cuts[:1] == [CUTS] and made["model"].get("end_of_word_suffix") == END:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > self.kept_words:
-            self.known = {}
-        parts = [text.split() for text in texts]
-        new = list({w for words in parts for w in words} - self.known.keys())
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
-        return [b"".join(map(self.known.__getitem__, words)) for words in parts]
+        """Ids of every text; a very long one goes in pieces between blanks."""
+        if self.tokenizer is None:
+            self.open()
+        pieces, owner = [], []
+        for i, text in enumerate(texts):
+            start = 0
+            while len(text) - start > TEXT_BYTES:
+                blank = BLANKS.search(text, start + TEXT_BYTES)
+                if blank is None:
+                    break
+                pieces.append(text[start : blank.start()])
+                owner.append(i)
+                start = blank.end()
+            pieces.append(text[start:] if start else text)
+            owner.append(i)
+        coded = self.coded(pieces)
+        if len(coded) == len(texts):
+            return coded
+        out = [b""] * len(texts)
+        for i, ids in zip(owner, coded):
+            out[i] += ids
+        return out
+
+    def coded(self, texts: list[bytes]) -> list[bytes]:
+        out, size, begin = [b""] * len(texts), 0, 0
+        easy = [i for i, text in enumerate(texts) if self.ends is not None and b"<|" not in text]
+        for place, i in enumerate(easy):
+            size += len(texts[i])
+            if size > TEXT_BYTES or place == len(easy) - 1:
+                self.code_plain(texts, easy[begin : place + 1], out)
+                size, begin = 0, place + 1
+        for i in sorted(set(range(len(texts))) - set(easy)):
+            out[i] = self.code_words(texts[i])
+        return out
+
+    def code_words(self, text: bytes) -> bytes:
+        if len(self.words) > self.kept_words:
+            self.words = {}
+        words = text.split()
+        new = list(set(words) - self.words.keys())
+        for word, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
+            self.words[word] = np.array(e.ids, "<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, words))
+
+    def code_plain(self, texts: list[bytes], chosen: list[int], out: list[bytes]) -> None:
+        """Fill in the ids of the chosen texts; those that are not plain go word by word."""
+        data = np.frombuffer(b"\n".join([texts[i] for i in chosen]), np.uint8)
+        stops = np.cumsum([len(texts[i]) + 1 for i in chosen])
+        odd = np.unique(np.searchsorted(stops, np.flatnonzero(plain(data)), side="right")).tolist()
+        if odd:
+            for n in odd:
+                out[chosen[n]] = self.code_words(texts[chosen[n]])
+            rest = sorted(set(range(len(chosen))) - set(odd))
+            if rest:
+                self.code_plain(texts, [chosen[n] for n in rest], out)
+            return
+        low, start = cut_bytes(data)
+        filled = KIND[data] != BLANK
+        begins = np.flatnonzero(start)
+        offsets = np.append((np.cumsum(filled) - filled)[begins], filled.sum()).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(low[filled])]).dictionary_encode()
+        known = self.known(parts.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // ID_BYTES
+        ids, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        part = parts.indices.to_numpy()
+        many = sizes[part]
+        ends = np.cumsum(many)
+        ids = ids[np.repeat(first[part] - (ends - many), many) + np.arange(many.sum())].tobytes()
+        bounds = (np.concatenate([[0], ends])[np.searchsorted(begins, np.concatenate([[0], stops]))] * ID_BYTES).tolist()
+        for i, a, b in zip(chosen, bounds[:-1], bounds[1:]):
+            out[i] = ids[a:b]
+
+    def known(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts.  Every part ends with an id that ends a word, so the ids of many in one text can
+        be told apart."""
+        if len(self.parts) + len(parts) > self.kept_words:
+            self.parts = {}
+        kept = self.parts
+        new = [p for p in parts if p not in kept]
+        for at in range(0, len(new), PARTS_AT_ONCE):
+            some = new[at : at + PARTS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * ID_BYTES
+            if len(stops) != len(some):
+                raise ValueError("the tokenizer does not end every word with an id of its own")
+            flat, start = ids.tobytes(), 0
+            for part, stop in zip(some, stops.tolist()):
+                kept[part] = flat[start:stop]
+                start = stop
+        return [kept[p] for p in parts]
 
 
 CHUNKS = "row bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
 
 
-def cut_texts(path: str, p: PackParams):
+def cut_texts(sent: Broadcast, p: PackParams):
     """The task that turns ``(key, text)`` batches into whole sequences and one rest for each document.
 
     ``row`` numbers the pieces of a task; with the task's number it is unique in the written table.
@@ -74,12 +225,13 @@ def cut_texts(path: str, p: PackParams):
     whole, end = p.length * ID_BYTES, np.array([p.end_id], "<u4").tobytes()
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, made = WordIds(path, p.kept_words), TaskContext.get().partitionId(), 0
+        words, part, made = sent.value, TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
             keys, out, held = [], [], 0
-            for place in range(0, len(texts), 256):
-                for i, ids in enumerate(words.of(texts[place : place + 256]), place):
+            ends = np.cumsum([len(t) for t in texts]) // TEXT_BYTES
+            for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+                for i, ids in zip(some.tolist(), words.of([texts[i] for i in some])):
                     ids += end
                     for start in range(0, len(ids), whole):
                         piece = ids[start : start + whole]
@@ -206,7 +358,8 @@ def pack(docs: DataFrame, tokenizer: str, p: PackParams = PackParams(), key: str
     also deals them into groups, so that no key can make a group large.
     """
     kind = docs.schema[key].dataType.simpleString()
-    cut = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(cut_texts(tokenizer, p), f"key {kind}, {CHUNKS}")
+    sent = docs.sparkSession.sparkContext.broadcast(WordIds(tokenizer, p.kept_words))
+    cut = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(cut_texts(sent, p), f"key {kind}, {CHUNKS}")
     chunks = materialise(cut, "chunks")
     rests = chunks.where(F.col("length") < p.length)
     groups = max(1, -(-rests.count() // p.group_size))
