@@ -1,5 +1,8 @@
+from html import unescape
+
 from pyspark.sql import functions as F
 
+from topicloom.functions import html
 from topicloom.operators import content, links
 
 LONG = "word " * 30
@@ -108,3 +111,30 @@ def test_repeated_page_gives_one_case(spark):
     cases = spark.createDataFrame([("u",), ("w",)], "case_url string")
     got = {r["case_url"]: r["case_text"] for r in extract_text(cases, pages).collect()}
     assert extract_text(cases, pages).count() == 2 and got["u"].startswith("word") and got["w"] == ""
+
+
+def test_every_character_reference(spark):
+    """Named with and without semicolon, the longest name first, numbers in both bases, unknown ones left."""
+    cases = {
+        "caf&eacute; &copy; &amp;lt;": "café © &lt;",
+        "&#x2F;&#47;&#X2f;&#233;&#xe9": "///éé",
+        "&notit; &notin; &not &AMP": "¬it; ∉ ¬ &",
+        "a & b &; &x; &unknown; &#; &#x;": "a & b &; &x; &unknown; &#; &#x;",
+        "&#128; &#x80; &#0; &#55296; &#1114112; &#99999999999999999999; &#13;": "€ € � � � � \r",
+        "&#x1F600; &NotEqualTilde; &fjlig;": "😀 ≂̸ fj",
+        "&nbsp;": " ",
+        "&#1;&#xFDD0;": "",
+        "none": "none",
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*cases, None])], "i int, t string")
+    got = {r.t: r.u for r in rows.select("t", html.unescape(F.col("t")).alias("u")).collect()}
+    assert got == cases | {None: None}
+    assert all(unescape(t) == u for t, u in cases.items())
+
+
+def test_references_in_an_address_and_in_text_nodes(spark):
+    page = '<a href="/x/3&#x2F;y?a=1&copy=2&lt;&eacute;&amp=3&para">caf&eacute; &nbsp;<b>&nbsp;</b>&#160;&copy; x</a><title>&Eacute;t&#233;</title>'
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    row = links.explode_anchors(pages).first()
+    assert (row["href"], row["text"]) == ("/x/3/y?a=1&copy=2<é&amp=3¶", "café© x")
+    assert links.page_profile(pages).first()["title"] == "Été"

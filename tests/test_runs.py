@@ -38,6 +38,15 @@ def test_whole_run_and_resume(spark, crawl, tmp_path):
     assert len(trend) == 6 and trend[(1991, 0)] == 0 and trend[(1990, 0)] == trend[(1992, 1)] == 3
     assert {tuple(r) for r in results["yearly_totals"].collect()} == {(1990, 6), (1992, 6)}
     assert tuple(results["summary"].first()) == (12, 2)
+    stats = {r["measure"]: tuple(r)[1:] for r in results["text_stats"].collect()}
+    lengths = sorted(len(r.case_text) for r in results["full_cases"].collect())
+    assert stats["text_length"] == (12, 12, 0, pytest.approx(sum(lengths) / 12), lengths[5], lengths[0], lengths[-1])
+    assert stats["token_count"] == (12, 12, 0, 60.0, 60, 60, 60)
+    first = results["first_texts"].collect()
+    assert len(first) == 3 and all(len(r.text) == 203 and len(r.tokens) == 20 for r in first)
+    summary = [(r.topic_number, r["count"], r.keywords) for r in results["topic_summary"].collect()]
+    assert [s[:2] for s in summary] == [(0, 6), (1, 6)] and all(w in summary[0][2] + summary[1][2] for w in ("tax", "ship"))
+    assert [(r.topic_number, r["count"]) for r in results["top_topics"].collect()] == [(0, 6), (1, 6)]
     again = run_all(store, None, params)
     assert again["topic_modeled"].count() == 12
     assert spark.read.text(f"{tmp_path}/topic_words_json").first()[0].startswith('{"0":"')
@@ -96,6 +105,18 @@ def test_thresholds_and_guards(spark):
         check_cleaned(docs.where("case_url = 'c'"), clean_documents(docs.where("case_url = 'c'")))
 
 
+def test_the_report_counts_what_each_filter_removes(spark):
+    from topicloom.plans.report import stats_table, watched_cleaning
+
+    ten, nine = "alpha beta " * 5, "alpha beta " * 4 + "gamma "
+    rows = [("a", ten.ljust(200, ".")), ("b", ten.ljust(199, ".")), ("c", nine.ljust(200, ".")), ("d", ""), ("e", None)]
+    docs = spark.createDataFrame(rows, "case_url string, case_text string")
+    cleaned, seen = watched_cleaning(docs)
+    assert [r.case_url for r in cleaned.collect()] == [r.case_url for r in clean_documents(docs).collect()] == ["a"]
+    stats = [tuple(r) for r in stats_table(docs, seen).collect()]
+    assert stats == [("text_length", 5, 2, 3, 149.75, 199, 0, 200), ("token_count", 2, 1, 1, 9.5, 9, 9, 10)]
+
+
 def test_statistics(spark):
     rows = spark.createDataFrame([(1,), (2,), (2,), (9,), (None,)], "v long")
     assert tuple(corpus.length_stats(rows, F.col("v")).first()) == (3.5, 2.0, 1, 9)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from topicloom.functions import text, urls
@@ -126,9 +127,21 @@ def test_lemmatise_keeps_order_and_unknown_tokens(spark):
     assert got[2]["tokens"] == [] and got[3]["tokens"] == []
 
 
+@pytest.mark.parametrize("part_words", [100, 1])
+def test_lemmas_are_looked_up_inside_the_row(spark, part_words):
+    """Rows of one key keep their own tokens, a base form is not replaced again, and no token moves."""
+    rows = [(1, ["a", "b"]), (1, ["c", "d", "x"]), (None, ["b", None, " b "]), (2, None), (3, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    book = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "z"), ("c", None), (None, "n"), ("d", ""), ("unused", "u")], "form string, lemma string")
+    found = tokens.lemmatise(docs, book, part_words=part_words)
+    got = sorted(((r["doc_id"], r["tokens"]) for r in found.collect()), key=str)
+    assert got == sorted([(1, ["b", "c"]), (1, ["c", "x"]), (None, ["c", "b"]), (2, []), (3, [])], key=str)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stop_table_joined_and_inlined_agree(spark):
     docs = spark.createDataFrame([(1, ["b", "law", "of", "law"]), (2, ["of"]), (3, [])], "doc_id long, tokens array<string>")
     listed = spark.createDataFrame([("of",), ("of",), ("x",)], "word string")
-    for bound in (0, 100):
-        got = {r[0]: r[1] for r in tokens.filter_by_stop_table(docs, listed, literal_words=bound).collect()}
+    for bound, part in ((0, 10), (0, 1), (100, 10)):
+        got = {r[0]: r[1] for r in tokens.filter_by_stop_table(docs, listed, literal_words=bound, part_words=part).collect()}
         assert got == {1: ["law", "law"], 2: [], 3: []}

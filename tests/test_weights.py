@@ -96,3 +96,38 @@ def test_a_third_of_all_words_being_one_word(spark):
         fit = weights.fit_weights(docs, weights.WeightParams(1.0, 1, None, (), local_terms))
         forms.append({(r[0], r[1]): round(r[2], 9) for r in fit.weighted(docs).collect()})
     assert forms[0] == forms[1] and len(forms[0]) == 4001
+
+
+@pytest.mark.parametrize("cap", [1, 5, 57, 300, 599, 600, 601, 5000])
+def test_a_large_cap_is_counted(spark, monkeypatch, cap):
+    """The same terms as a sort gives, with many ties and wide counts, and no step in a single task."""
+    totals = [1] * 200 + [2] * 150 + [3] * 100 + [i * i for i in range(2, 152)]
+    rows = [(f"t{(i * 7919) % 600:04d}", 1, n) for i, n in enumerate(totals)]
+    stats = spark.createDataFrame(rows, "term string, df long, total long")
+    wanted = {r[0] for r in sorted(rows, key=lambda r: (-r[2], r[0]))[:cap]}
+    monkeypatch.setattr(weights, "SORTABLE_TERMS", 0)
+    kept = weights.cap_features(stats, cap)
+    assert {r.term for r in kept.collect()} == wanted and kept.count() == len(wanted)
+    assert "TakeOrdered" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert weights.cap_features(stats.limit(0), cap).count() == 0
+
+
+def test_hot_terms_are_cut_into_parts(spark, monkeypatch):
+    """No (term, part) has more than about the stated number of rows, and the weights stay the same."""
+    docs = spark.range(4000).select("id", F.expr("array('everywhere', concat('rare', id % 500), 'everywhere')").alias("tokens"))
+    params = weights.WeightParams(1.0, 1, None, (), 0)
+    fit = weights.fit_weights(docs, params, "id")
+    whole = fit.weighted_by_join(docs, "id").collect()
+    monkeypatch.setattr(weights, "PART_ROWS", 200)
+    parts = fit.weighted_by_join(docs, "id")
+    assert {(r[0], r[1]): r[2] for r in parts.collect()} == pytest.approx({(r[0], r[1]): r[2] for r in whole})
+    frequent = weights.hot_parts(weights.term_counts(docs, "id"), fit.vocabulary, "id")
+    sizes = {(r.term, r._part): r["count"] for r in frequent.groupBy("term", "_part").count().collect()}
+    assert max(sizes.values()) < 300 and len([k for k in sizes if k[0] == "everywhere"]) == 20
+
+
+def test_saved_weights_know_their_settings(docs, spark, tmp_path):
+    fit = weights.fit_weights(docs, weights.WeightParams(0.9, 1, 7, ("war",), 5))
+    fit.save(str(tmp_path / "w"))
+    back = weights.TermWeights.load(spark, str(tmp_path / "w"))
+    assert back.params == fit.params and back.n_docs == 4 and sorted(back.vocabulary.collect()) == sorted(fit.vocabulary.collect())

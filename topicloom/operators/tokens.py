@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import drop_stop_words
+from topicloom.runtime import materialise
 
-SALTS = 16
 LITERAL_WORDS = 20_000
+PART_WORDS = 500_000  # words that are sent to a task at once
 
 
 def stop_list_union(*lists: DataFrame) -> DataFrame:
@@ -31,42 +37,69 @@ def vocabulary_size(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return terms.agg(F.count(F.lit(1)).alias("vocab_size"))
 
 
-def filter_by_stop_table(docs: DataFrame, stop_table: DataFrame, key: str = "doc_id", tokens: str = "tokens", literal_words: int = LITERAL_WORDS) -> DataFrame:
+def filter_by_stop_table(docs: DataFrame, stop_table: DataFrame, tokens: str = "tokens", literal_words: int = LITERAL_WORDS, part_words: int = PART_WORDS) -> DataFrame:
     """Drop listed and one-letter tokens where the list is a table.
 
-    Up to ``literal_words`` words become a hash set inside the expression; a longer list is joined.
+    Up to ``literal_words`` words become a hash set inside the expression; a longer list is looked up.
     """
-    head = stop_table.select(F.col(stop_table.columns[0])).distinct().limit(literal_words + 1).collect()
+    words = stop_table.select(F.col(stop_table.columns[0]).alias("form")).where("form IS NOT NULL").distinct()
+    head = words.limit(literal_words + 1).collect()
     if len(head) <= literal_words:
-        return docs.withColumn(tokens, drop_stop_words(tokens, [r[0] for r in head if r[0] is not None]))
-    listed = stop_table.select(F.col(stop_table.columns[0]).alias("form")).distinct().withColumn("_listed", F.lit(True))
+        return docs.withColumn(tokens, drop_stop_words(tokens, [r[0] for r in head]))
+    marked = replace_tokens(docs, words.withColumn("value", F.lit("")), tokens, part_words)
+    return _kept(marked, tokens, lambda t: F.length(t) > 1)
+
 
-    def kept(entry: Column) -> Column:
-        return F.when((F.length("_token") > 1) & F.col("_listed").isNull(), entry)
+def lemmatise(docs: DataFrame, dictionary: DataFrame, tokens: str = "tokens", part_words: int = PART_WORDS) -> DataFrame:
+    """Replace every token by its base form from ``(form, lemma)``; unknown tokens stay, blanks go.
 
-    return _retokenise(docs, listed, key, tokens, kept, F.col("_token"))
+    Of several base forms of a token the first in the alphabet counts.
+    """
+    one_each = dictionary.where("form IS NOT NULL AND lemma IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("value"))
+    replaced = replace_tokens(docs, one_each, tokens, part_words)
+    return _kept(replaced.withColumn(tokens, F.transform(tokens, lambda t: F.trim(t))), tokens, lambda t: t != "")
 
 
-def lemmatise(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """Replace every token by its base form from ``(form, lemma)``; unknown tokens stay, blanks go."""
-    base = F.trim(F.coalesce("lemma", "_token"))
-    one_each = dictionary.groupBy("form").agg(F.min("lemma").alias("lemma"))
-    return _retokenise(docs, one_each, key, tokens, lambda e: F.when(base != "", e), base)
+def _kept(docs: DataFrame, tokens: str, test) -> DataFrame:
+    kept = F.filter(tokens, lambda t: t.isNotNull() & test(t))
+    return docs.withColumn(tokens, F.coalesce(kept, F.array().cast("array<string>")))
 
 
-def _retokenise(docs: DataFrame, table: DataFrame, key: str, tokens: str, keep, value: Column) -> DataFrame:
-    """Join a table to the tokens and rebuild the arrays in order.
+def replace_tokens(docs: DataFrame, table: DataFrame, tokens: str, part_words: int = PART_WORDS) -> DataFrame:
+    """Put the ``value`` of ``(form, value)``, one row per form, in the place of every token that is listed.
 
-    Tokens carry a salt and the table is repeated once per salt, so a token that makes up a third of the
-    text spreads over ``SALTS`` tasks when Catalyst finds the table too large to broadcast.
+    Inside the row: the words go to the tasks, and no token moves.  A table of more than ``part_words`` words is
+    first cut down to the words of the corpus; what is left goes in parts of about that size, and the documents
+    are written after each part, so that a task never holds more than one.  Every part looks at the
+    tokens as they were, so no value is replaced again.
     """
-    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt")
-    exploded = docs.select(key, salt, F.posexplode_outer(tokens).alias("_pos", "_token"))
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = exploded.join(
-        repeated, (exploded["_token"] == repeated["form"]) & (exploded["_salt"] == repeated["_salt"]), "left"
-    )
-    entry = F.when(F.col("_token").isNotNull(), keep(F.struct("_pos", value.alias("_value"))))
-    rebuilt = joined.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-    rebuilt = rebuilt.select(key, F.transform("_entries", lambda e: e["_value"]).alias(tokens))
-    return docs.drop(tokens).join(rebuilt, key).select(*docs.columns)
+    table = materialise(table.select("form", "value"), "words")
+    if table.count() > part_words:
+        used = docs.select(F.explode(F.array_distinct(tokens)).alias("form")).distinct()
+        table = materialise(table.join(used, "form", "left_semi"), "words")
+    parts = max(1, -(-table.count() // part_words))
+    names = [c for c in docs.columns if c != tokens]
+    now = docs.withColumn("_now", F.col(tokens))
+    for part in range(parts):
+        words = table.where(F.pmod(F.xxhash64("form"), F.lit(parts)) == part).select("form", "value").toArrow()
+        now = now.select(*names, tokens, _looked_up(docs, words)(F.col(tokens), F.col("_now")).alias("_now"))
+        if part < parts - 1:
+            now = materialise(now, "tokens")
+    return now.select(*[F.col("_now").alias(c) if c == tokens else F.col(c) for c in docs.columns])
+
+
+def _looked_up(docs: DataFrame, words: pa.Table):
+    sent = docs.sparkSession.sparkContext.broadcast(words.combine_chunks())
+
+    @F.arrow_udf("array<string>")
+    def replace(tokens: pa.Array, now: pa.Array) -> pa.Array:
+        forms, values = (sent.value.column(c).combine_chunks() for c in ("form", "value"))
+        found = values.take(pc.index_in(tokens.flatten(), value_set=forms))
+        ends = pc.cumulative_sum(tokens.value_lengths().fill_null(0).cast(pa.int32()))
+        starts = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+        return pa.ListArray.from_arrays(starts, pc.coalesce(found, now.flatten()), mask=tokens.is_null())
+
+    return replace
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

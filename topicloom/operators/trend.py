@@ -145,7 +145,12 @@ def viewer_layout(trend: DataFrame) -> DataFrame:
 
 def top_topics(cases: DataFrame, words: DataFrame, n: int = 5, width: int = 80) -> DataFrame:
     """The ``n`` largest topics and the start of their words."""
-    largest = count_by(cases, "topic_number").orderBy(F.desc("count"), "topic_number").limit(n)
+    return top_of_counts(count_by(cases, "topic_number"), words, n, width)
+
+
+def top_of_counts(counts: DataFrame, words: DataFrame, n: int = 5, width: int = 80) -> DataFrame:
+    """The same from ``(topic_number, count)``."""
+    largest = counts.orderBy(F.desc("count"), "topic_number").limit(n)
     return largest.join(words, "topic_number", "left").select(
         "topic_number", "count", ellipsis(F.col("topic_words"), width, always=True).alias("keywords")
     )
@@ -153,8 +158,12 @@ def top_topics(cases: DataFrame, words: DataFrame, n: int = 5, width: int = 80)
 
 def topic_summary(cases: DataFrame, words: DataFrame, n_topics: int, width: int = 100) -> DataFrame:
     """Every topic from 0 with its number of cases, also zero, and the start of its words."""
-    counts = count_by(cases, "topic_number")
-    every = cases.sparkSession.range(n_topics).select(F.col("id").cast("int").alias("topic_number"))
+    return summary_of_counts(count_by(cases, "topic_number"), words, n_topics, width)
+
+
+def summary_of_counts(counts: DataFrame, words: DataFrame, n_topics: int, width: int = 100) -> DataFrame:
+    """The same from ``(topic_number, count)``."""
+    every = counts.sparkSession.range(n_topics).select(F.col("id").cast("int").alias("topic_number"))
     joined = every.join(counts, "topic_number", "left").join(words, "topic_number", "left")
     return joined.select(
         "topic_number",

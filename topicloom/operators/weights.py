@@ -7,7 +7,8 @@ vocabulary has at most ``local_terms`` terms; a larger one is joined to the coun
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
 from functools import cached_property
 
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import drop_stop_words
-from topicloom.operators.tokens import SALTS
-from topicloom.runtime import materialise, number_rows
+from topicloom.functions.wordlists import english_words
+from topicloom.runtime import materialise, number_rows, sized
 
 VECTOR_STRUCT = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
@@ -43,6 +44,13 @@ STUDY_LDA = WeightParams(0.80, 2, None)
 SMALL_VOCABULARY = 100
 
 SORTABLE_TERMS = 100_000  # as many as one task may number
+RANGES = 256  # of counts, told apart in one pass
+PART_ROWS = 1_000_000  # about as many rows of a term are joined in one place
+
+
+def with_english(params: WeightParams) -> WeightParams:
+    """The settings with the English list as the weights' own stop words (needs a running session)."""
+    return replace(params, stop_words=tuple(sorted({*params.stop_words, *english_words()})))
 
 
 def countable(tokens: Column | str, stop_words=()) -> Column:
@@ -94,10 +102,45 @@ def prune_by_df(stats: DataFrame, n_docs: int, min_df: int, max_df: float) -> Da
 
 
 def cap_features(stats: DataFrame, max_features: int | None) -> DataFrame:
-    """The terms of largest total count; ties go to the earlier term.  A top-n per task, no full sort."""
+    """The terms of largest total count; ties go to the earlier term.
+
+    A cap that one task may sort is a top-n.  A larger one is found by counting: terms above the count where the
+    cap falls are in, and of those that have just this count the first in the alphabet fill it up.
+    """
     if max_features is None:
         return stats
-    return stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+    if max_features <= SORTABLE_TERMS:
+        return stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+    limit, above, ties = _count_at(stats, max_features)
+    if above + ties <= max_features:
+        return stats.where(F.col("total") >= limit)
+    level = stats.where(F.col("total") == limit)
+    first = number_rows(level, "term").where(F.col("row_index") < max_features - above).select("term")
+    return stats.where(F.col("total") > limit).unionByName(level.join(first, "term", "left_semi"))
+
+
+def _count_at(stats: DataFrame, place: int) -> tuple[int, int, int]:
+    """The total count of the term at ``place`` from the top, how many terms are above it and how many have it;
+    the smallest count when there are fewer terms.
+
+    Counts are narrowed down by a histogram of ``RANGES`` equal ranges per pass, so only that many rows
+    reach the driver each time.
+    """
+    low, high = stats.agg(F.min("total"), F.max("total")).first()
+    if low is None:
+        return 0, 0, 0
+    above = 0
+    while True:
+        width = -(-(high - low + 1) // RANGES)
+        place_of = F.floor((F.col("total") - low) / width)
+        found = stats.where(F.col("total").between(low, high)).groupBy(place_of.alias("range")).count().orderBy(F.desc("range")).collect()
+        for row in found:
+            if above + row["count"] >= place or row is found[-1]:
+                low, high = low + row["range"] * width, low + (row["range"] + 1) * width - 1
+                if width == 1:
+                    return low, above, row["count"]
+                break
+            above += row["count"]
 
 
 def index_terms(stats: DataFrame, bounded: bool) -> DataFrame:
@@ -168,12 +211,16 @@ class TermWeights:
         return self.weighted_by_join(docs, key, tokens)
 
     def weighted_by_join(self, docs: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-        """The same by a join on the term.  Salted, so that a term found in most documents does not fill
-        one task; the norm is a window over one document's own terms."""
-        salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt")
-        counted = term_counts(docs, key, tokens).select("*", salt)
-        repeated = self.vocabulary.select("term", "term_id", "idf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        scaled = counted.join(repeated, ["term", "_salt"]).select(key, "term_id", (F.col("tf") * F.col("idf")).alias("_x"))
+        """The same by a join on the term; the norm is a window over one document's own terms.
+
+        A term's document frequency tells how many rows it brings.  Terms with more than ``PART_ROWS`` are cut
+        into parts by their documents, so that no join key has more rows than about that; the list of such
+        terms is short and written, so that Catalyst knows its size.
+        """
+        cut = F.explode(F.sequence(F.lit(0), parts_of(F.col("df")) - 1)).alias("_part")
+        repeated = self.vocabulary.select("term", "term_id", "idf", cut)
+        counted = hot_parts(term_counts(docs, key, tokens), self.vocabulary, key)
+        scaled = counted.join(repeated, ["term", "_part"]).select(key, "term_id", (F.col("tf") * F.col("idf")).alias("_x"))
         norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
         return scaled.select(key, "term_id", (F.col("_x") / norm).alias("weight"))
 
@@ -194,14 +241,41 @@ class TermWeights:
             "matrix",
         )
 
+    def count_matrix(self, docs: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+        """``(key, term_ids, weights)`` with the raw counts as weights; terms are counted inside the row."""
+        if self.local:
+            vectors = self.count_vectors(docs, key, tokens)
+            written = materialise(vectors, "counts", f"`{key}` {docs.schema[key].dataType.simpleString()}, features {VECTOR_STRUCT}")
+            return written.select(key, F.col("features.indices").alias("term_ids"), F.col("features.values").alias("weights"))
+        known = term_counts(docs, key, tokens).join(self.vocabulary.select("term", "term_id"), "term")
+        rows = known.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term_id", F.col("tf").cast("double").alias("tf")))).alias("_e"))
+        full = docs.select(key).join(rows, key, "left")
+        cells = [F.coalesce(f"_e.{name}", F.array().cast(kind)).alias(out) for name, kind, out in (("term_id", "array<int>", "term_ids"), ("tf", "array<double>", "weights"))]
+        return materialise(full.select(key, *cells), "counts")
+
     def save(self, path: str) -> None:
-        self.vocabulary.withColumn("n_docs", F.lit(self.n_docs)).write.mode("overwrite").parquet(path)
+        """The vocabulary with the number of documents and the parameters beside every term."""
+        notes = {"n_docs": F.lit(self.n_docs), "params": F.lit(json.dumps(asdict(self.params)))}
+        self.vocabulary.withColumns(notes).write.mode("overwrite").parquet(path)
 
     @classmethod
-    def load(cls, spark, path: str, params: WeightParams = STANDARD) -> TermWeights:
+    def load(cls, spark, path: str) -> TermWeights:
         table = spark.read.parquet(path)
-        first = table.select("n_docs").first()
-        return cls(table.drop("n_docs"), first[0] if first else 0, params)
+        first = table.select("n_docs", "params").first()
+        saved = json.loads(first["params"])
+        return cls(table.drop("n_docs", "params"), first["n_docs"], WeightParams(**saved | {"stop_words": tuple(saved["stop_words"])}))
+
+
+def parts_of(df: Column) -> Column:
+    """Into how many parts a term of this document frequency is cut."""
+    return F.greatest(F.ceil(df / PART_ROWS), F.lit(1)).cast("int")
+
+
+def hot_parts(counted: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """The counted terms with their ``_part``, by a hash of the document."""
+    hot = sized(vocabulary.where(F.col("df") > PART_ROWS).select("term", parts_of(F.col("df")).alias("_parts")), "hot-terms")
+    part = F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1))).cast("int").alias("_part")
+    return counted.join(hot, "term", "left").select(key, "term", "tf", part)
 
 
 def sparse_parts(features: str) -> Column:

@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.wordlists import default_stop_words, english_words
+from topicloom.functions.wordlists import default_stop_words
 from topicloom.operators.nmf import NmfParams
 from topicloom.operators.trend import trend_table, with_year, yearly_totals
-from topicloom.operators.weights import STANDARD, WeightParams
+from topicloom.operators.weights import WeightParams
 from topicloom.plans.collect import collect_links, extract_text, extract_text_in_batches
 from topicloom.plans.model import model_topics
-from topicloom.plans.preprocess import CleanParams, check_cleaned, clean_documents
+from topicloom.plans.preprocess import CleanParams, check_cleaned
+from topicloom.plans.report import first_texts, stats_table, topic_tables, watched_cleaning, watched_topics
 from topicloom.runtime import spread_small
 from topicloom.sources.files import write_csv, write_topic_words
 from topicloom.sources.stages import StageStore
@@ -34,19 +35,25 @@ class RunParams:
 def run_all(store: StageStore, pages: DataFrame | None, params: RunParams) -> dict[str, DataFrame]:
     """Collect and extract where those tables are missing, always clean, model and count; every stage is
     written and read back.  ``pages`` is needed only while the first two tables are missing; with a
-    ``batch_size`` their text is extracted in batches that survive a failed run."""
+    ``batch_size`` their text is extracted in batches that survive a failed run.
+
+    Beside the stages it returns what the run tells about itself: ``text_stats``, ``first_texts``,
+    ``topic_summary``, ``top_topics`` and ``summary``, measured while the stages were written."""
     results = {
         "case_urls": store.get_or_build("case_urls", lambda: collect_links(_needed(pages), params.marker, params.exclude)),
         "full_cases": store.get_or_build("full_cases", lambda: _texts(store, _needed(pages), params.batch_size)),
     }
     clean = params.clean or CleanParams(stop_words=default_stop_words())
-    weighting = params.weighting or WeightParams(stop_words=english_words())
     cases = spread_small(results["full_cases"])
-    processed = store.write("processed", clean_documents(cases, clean))
+    cleaned, seen = watched_cleaning(cases, clean)
+    processed = store.write("processed", cleaned)
     results["processed_cases"] = check_cleaned(results["full_cases"], processed, clean)
-    run = model_topics(processed, params.nmf, weighting, params.n_words)
+    results["text_stats"], results["first_texts"] = stats_table(processed, seen), first_texts(processed)
+    run = model_topics(processed, params.nmf, params.weighting, params.n_words)
     results["topic_words"] = store.write("topic_words", run.topic_words)
-    results["topic_modeled"] = store.write("topic_modeled", run.topic_modeled)
+    labelled, topics = watched_topics(run.topic_modeled, params.nmf.n_topics)
+    results["topic_modeled"] = store.write("topic_modeled", labelled)
+    results["topic_summary"], results["top_topics"] = topic_tables(results["topic_words"], topics, params.nmf.n_topics)
     dated = with_year(results["topic_modeled"].select("case_url", "topic_number"))
     results["visualization_data"] = store.write("visualization_data", trend_table(dated))
     results["yearly_totals"] = store.write("yearly_totals", yearly_totals(dated))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from topicloom.operators.nmf import NmfModel, NmfParams, fit_nmf
 from topicloom.operators.topics import assign_topics, top_words
 from topicloom.operators.trend import lookup_words
-from topicloom.operators.weights import STANDARD, TermWeights, WeightParams, fit_weights, sparse_parts
+from topicloom.operators.weights import STANDARD, TermWeights, WeightParams, fit_weights, sparse_parts, with_english
 from topicloom.runtime import materialise
 
 
@@ -23,13 +23,14 @@ class TopicRun:
     model: NmfModel
 
 
-def model_topics(docs: DataFrame, params: NmfParams, weighting: WeightParams = STANDARD, n_words: int = 40, key: str = "case_url", tokens: str = "processed_text") -> TopicRun:
-    """Weigh the terms, fit the topics once, label every document and add its topic's words.
+def model_topics(docs: DataFrame, params: NmfParams, weighting: WeightParams | None = None, n_words: int = 40, key: str = "case_url", tokens: str = "processed_text") -> TopicRun:
+    """Weigh the terms (by default with the standard settings and the English list), fit the topics once, label
+    every document and add its topic's words.
 
     The words (one row per topic) are written first: with their size known, Catalyst broadcasts them
     instead of shuffling the documents by topic, where one large topic would fill a task.
     """
-    weights = fit_weights(docs, weighting, key, tokens)
+    weights = fit_weights(docs, weighting or with_english(STANDARD), key, tokens)
     matrix = weights.matrix(docs, key, tokens)
     model = fit_nmf(matrix, weights.vocabulary, weights.n_terms, params, key)
     words = materialise(top_words(model.topic_terms(weights.vocabulary), n_words), "topic-words")

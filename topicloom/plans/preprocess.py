@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,11 +20,16 @@ class CleanParams:
     stop_words: tuple[str, ...] = ()
 
 
-def clean_documents(docs: DataFrame, params: CleanParams = CleanParams(), text: str = "case_text") -> DataFrame:
-    """Length filter, tokens, token filter: row-local, so it takes a stream as well as a table."""
-    long_enough = docs.withColumn("text_length", F.length(text).cast("bigint")).where(F.col("text_length") >= params.min_length)
+def clean_documents(docs: DataFrame, params: CleanParams = CleanParams(), text: str = "case_text", watch: Callable | None = None) -> DataFrame:
+    """Length filter, tokens, token filter: row-local, so it takes a stream as well as a table.
+
+    ``watch(df, column, minimum)`` sees the rows before each filter and returns them (see ``report``).
+    """
+    watch = watch or (lambda df, column, minimum: df)
+    measured = watch(docs.withColumn("text_length", F.length(text).cast("bigint")), "text_length", params.min_length)
+    long_enough = measured.where(F.col("text_length") >= params.min_length)
     tokens = once(long_enough, "processed_text", clean_tokens(F.col(text), params.stop_words))
-    counted = tokens.withColumn("token_count", F.size("processed_text").cast("bigint"))
+    counted = watch(tokens.withColumn("token_count", F.size("processed_text").cast("bigint")), "token_count", params.min_tokens)
     kept = counted.where(F.col("token_count") >= params.min_tokens)
     return kept.withColumn("processed_text_str", join_tokens("processed_text"))
 

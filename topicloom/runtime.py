@@ -33,14 +33,15 @@ def is_local(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def materialise(df: DataFrame, label: str, schema: T.StructType | str | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str, schema: T.StructType | str | None = None, partitions: list[str] | None = None) -> DataFrame:
     """Write ``df`` to a table in the scratch folder and read it back.
 
     Cuts the lineage with a table that outlives any executor, and gives Catalyst real sizes to
-    pick join strategies from.  ``schema`` reads the table back under other types.
+    pick join strategies from.  ``schema`` reads the table back under other types; ``partitions`` are columns
+    with a folder for each value.
     """
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partitions)
     table = df.sparkSession.read.schema(df.schema if schema is None else schema).parquet(path)
     table._scratch_path = path
     return table
@@ -50,8 +51,12 @@ def discard(table: DataFrame) -> None:
     """Delete a table made by ``materialise`` that nothing reads any more."""
     path = getattr(table, "_scratch_path", None)
     if path is not None:
-        target = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        delete_path(table.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
