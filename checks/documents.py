@@ -11,6 +11,7 @@ from topicloom.functions import text
 from topicloom.functions.wordlists import english_words
 from topicloom.operators import corpus, tokens, weights
 from topicloom.plans.preprocess import CleanParams, clean_documents
+from topicloom.plans.report import stats_table, watched_cleaning
 from topicloom.runtime import materialise, scratch_root, spread_small
 from topicloom.sources import files
 from topicloom.sources.stages import StageStore, assign_batches
@@ -224,6 +225,20 @@ def _(spark, folder):
     return cleaned.select("doc_id", "text_length", "token_count", "processed_text_str")
 
 
+@query(
+    "run_report",
+    f"""{DOCS}, measures AS (SELECT 'text_length' AS measure, length(text) AS v, 200 AS least FROM docs
+      UNION ALL SELECT 'token_count', len(tokens), 10 FROM docs WHERE length(text) >= 200)
+    SELECT measure, count(*) AS n, count(*) FILTER (WHERE v >= least) AS kept, count(*) - count(*) FILTER (WHERE v >= least) AS removed,
+      avg(v) AS mean, quantile_disc(v, 0.5) AS median, min(v) AS min, max(v) AS max FROM measures GROUP BY measure""",
+)
+def _(spark, folder):
+    docs = spread_small(documents(spark, folder).select("doc_id", "text"))
+    cleaned, seen = watched_cleaning(docs, CleanParams(stop_words=STOP), "text")
+    materialise(cleaned, "cleaned")
+    return stats_table(docs, seen)
+
+
 # --- sources and sinks ---------------------------------------------------------------------------
 
 
