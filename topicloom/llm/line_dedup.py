@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.words import has_word, lines_of
-from topicloom.runtime import materialise, once
+from topicloom.runtime import discard, materialise, once
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,8 @@ def probe_keys(line: str, n: str, p: LineParams) -> Column:
     """Keys of the substrings of a line that can equal a segment of an indexed line of the same or a smaller length.
 
     Segment ``i`` counts when it is the first without an edit seen from the left, or from the right: at most ``i``
-    edits lie before it and ``edits - i`` after it, both within the difference in length.
+    edits lie before it and ``edits - i`` after it, both within the difference in length.  A line's own segments are
+    left out: those are its index keys.
     """
     own, keys = F.col(n), []
     for less in range(p.edits + 1):
@@ -73,25 +74,26 @@ def probe_keys(line: str, n: str, p: LineParams) -> Column:
             low = max(-i, less - (p.edits - i))
             high = min(i, less + (p.edits - i))
             for shift in range(low, high + 1):
+                if less == shift == 0:
+                    continue
                 at = start + shift
                 keys.append(F.when((own - less >= p.min_chars) & (at >= 0) & (at + size <= own), key(F.col(line), i, own - less, at, size)))
     return F.array(*keys)
 
 
-LETTERS = "enitaros"  # frequent ones; any eight serve
+LETTERS = "enitarosldcumphg"  # frequent ones; any sixteen serve
 
 
 def letter_counts(line: Column) -> Column:
-    """How often eight letters occur, a byte each."""
-    one = lambda i, c: F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(255)), 8 * i)
+    """How often sixteen letters occur, each modulo 16 in four bits."""
+    one = lambda i, c: F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(15)), 4 * i)
     return reduce(lambda a, b: a.bitwiseOR(b), [one(i, c) for i, c in enumerate(LETTERS)])
 
 
 def counts_apart(a: str, b: str) -> Column:
-    """Sum of the differences of two letter counts; an edit adds two at most."""
-    at = lambda x, i: F.shiftrightunsigned(F.col(x), 8 * i).bitwiseAND(F.lit(255))
-    apart = lambda i: F.least(F.abs(at(a, i) - at(b, i)), 256 - F.abs(at(a, i) - at(b, i)))
-    return reduce(lambda x, y: x + y, [apart(i) for i in range(len(LETTERS))])
+    """Sum of the differences of two letter counts, the shorter way round; an edit adds two at most."""
+    apart = lambda i: F.shiftrightunsigned(F.col(a), 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(F.col(b), 4 * i).bitwiseAND(F.lit(15))
+    return reduce(lambda x, y: x + y, [F.least(F.abs(apart(i)), 16 - F.abs(apart(i))) for i in range(len(LETTERS))])
 
 
 def shared_prefix(a: Column, b: Column, limit: Column) -> Column:
@@ -168,9 +170,12 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, p: LineParams) -> DataFrame:
         return rows.repartition("k").dropDuplicates(["k", f"h_{x}"])
 
     # lines of one form that differ by a word or more meet on many segments; most end here, as their letters differ
-    met = keyed(index_keys("line", "n", p), "a").join(keyed(probe_keys("line", "n", p), "b"), "k").where(F.col("h_a") != F.col("h_b"))
-    met = met.where(counts_apart("c_a", "c_b") <= 2 * p.edits)
-    met = materialise(met.select("h_a", "h_b").distinct(), "met-lines")
+    alike = counts_apart("c_a", "c_b") <= 2 * p.edits
+    index = keyed(index_keys("line", "n", p), "a")
+    moved = index.join(keyed(probe_keys("line", "n", p), "b"), "k").where((F.col("h_a") != F.col("h_b")) & alike)
+    # the index keys serve as probes of the same length and place
+    level = index.join(keyed(index_keys("line", "n", p), "b"), "k").where((F.col("h_a") < F.col("h_b")) & alike)
+    met = materialise(moved.select("h_a", "h_b").union(level.select("h_a", "h_b")).distinct(), "met-lines")
     wanted = met.select(F.col("h_a").alias("h")).union(met.select("h_b")).distinct()
     places = materialise(firsts.join(wanted, "h").groupBy("h").agg(F.min("first").alias("doc")), "met-places")
     of_docs = places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("h").alias("hs"))  # lines of one document
@@ -182,7 +187,11 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, p: LineParams) -> DataFrame:
     # pairs far beyond the bound end inside the join, so that only few leave it
     close = F.levenshtein("a", "b", p.edits) >= 0
     pairs = half.join(of("b").withColumnRenamed("h_b", "_h"), (F.col("h_b") == F.col("_h")) & close).drop("_h")
-    return edit_distance(pairs, "a", "b", p.edits).where(F.col("distance") <= p.edits).select("h_a", "doc_a", "h_b", "doc_b")
+    near = edit_distance(pairs, "a", "b", p.edits).where(F.col("distance") <= p.edits).select("h_a", "doc_a", "h_b", "doc_b")
+    near = materialise(near, "near-lines")
+    for table in (met, places, texts):
+        discard(table)
+    return near
 
 
 def keep_lines(text: str, hashes: str) -> Column:
