@@ -144,6 +144,27 @@ def test_licences(spark, odd, none, documents):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in lines.items()], "doc_id long, text string")
     for r in licences.scan(docs, model).collect():
         assert {x["family"] for x in r["licences"] if x["confirmed"]} == lines[r["doc_id"]][1]
+    two = model.scan("Dual licensed under the MIT license or the Apache License, Version 2.0.")[1]
+    assert {f for _, f, _, s in two if s >= model.p.min_similarity} == {"MIT", "Apache-2.0"}
     by = {r["doc_id"]: r for r in licences.scan(odd, model).collect()}
     assert by[1]["n_paragraphs"] == 0 and by[3]["n_paragraphs"] == 0 and by[6]["n_paragraphs"] == 1500
     assert licences.scan(none, licences.fit(none)).count() == 0
+
+
+@pytest.mark.parametrize("share", [0, 0.01, 0.1, 0.4])
+def test_frequent_licences_are_found(share):
+    """Licence lines of the corpus teach nothing, so no share of them hides a notice."""
+    rng = random.Random(3)
+    plain = [[f"w{rng.randrange(3000)}".encode() for _ in range(20)] for _ in range(1500)]
+    often = licences.tokens_of(b"This project uses the MIT license, see LICENSE.")
+    model = licences.LicenceModel(licences.LicenceParams(variants=60, steps=150))
+    model.fit([often if rng.random() < share else w for w in plain])
+    for line, family in (
+        ("Released under the MIT License.", "MIT"),
+        ("Licensed under the MIT license.", "MIT"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA"),
+        ("All rights reserved.", "proprietary"),
+        ("Use of this source code is governed by a BSD-style license.", "BSD"),
+    ):
+        assert [(f, s) for _, f, _, s in model.scan("some words\n" + line)[1]] == [(family, 1.0)], line
+    assert [f for _, f, _, _ in model.scan("This project uses the MIT license, see LICENSE.")[1]] == ["MIT"]

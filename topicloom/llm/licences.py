@@ -4,6 +4,9 @@ A logistic regression over word n-grams names the licence family of a paragraph,
 notices below, varied, against paragraphs drawn from the corpus.  Its chances are calibrated on paragraphs held
 out from training, and a family counts as confirmed when the paragraph also holds most of one of its notices.
 
+Paragraphs of the corpus that speak of licences teach nothing, however many they are: neither are they plain, nor
+do their words count as ordinary ones.  A paragraph can announce several licences.
+
 A paragraph is a line.  Most lines hold none of the n-grams that speak for a family; for those every family's
 score is its negative bias, so they have no licence, and the search for such n-grams is all they cost.
 """
@@ -76,6 +79,11 @@ DECOYS = (
     "The public license office is open to any person.",
     "Creative work is under common attribution.",
 )
+# Words that make a paragraph of the corpus unfit as an example without licence.
+LICENCE_WORDS = frozenset(
+    b"license licenses licensed licence licences licenced licensing licencing sublicense copyright copyrighted copyleft "
+    b"redistribute redistribution noncommercial sharealike trademark warranty patent".split()
+)
 PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 
@@ -110,6 +118,10 @@ class LicenceModel:
         self.weights = np.zeros((0, len(self.families)))
         self.bias = np.full(len(self.families), -3.0)
         self.temperature, self.anchors = 1.0, frozenset()
+        # licences of one kind differ by a number or a suffix; words that only one kind uses name it
+        self.kind = {f: f.split("-")[0] for f in self.families}
+        used = {k: {t for f in self.families if self.kind[f] == k for n in NOTICES[f] for t in tokens_of(n.encode())} for k in set(self.kind.values())}
+        self.naming = {k: w - set().union(*(o for j, o in used.items() if j != k)) for k, w in used.items()}
 
     def varied(self, plain: list[list[bytes]]) -> list[tuple[list[bytes], int]]:
         """Notices with words left out, and with words of the corpus before and behind."""
@@ -128,8 +140,8 @@ class LicenceModel:
         return out
 
     def fit(self, plain: list[list[bytes]]) -> None:
-        """``plain``: token lists of corpus paragraphs; those that hold a whole notice teach nothing."""
-        corpus = [w for w in plain if not self.holds_notice(w)]
+        """``plain``: token lists of corpus paragraphs; those that speak of licences teach nothing."""
+        corpus = [w for w in plain if LICENCE_WORDS.isdisjoint(w) and not self.near_notice(w)]
         plain = corpus + [tokens_of(d.encode()) for d in DECOYS] * 20
         rows = self.varied(plain) + [(w, -1) for w in plain]
         order = np.random.default_rng(17).permutation(len(rows))
@@ -162,6 +174,7 @@ class LicenceModel:
         for w in corpus:
             for t in set(w):
                 common[t] = common.get(t, 0) + 1
+        # (an ordinary paragraph holds no licence word, so those always anchor)
         usual = {t for t, n in common.items() if n > 0.002 * len(corpus) + 5}
         anchors = set()
         for g, i in self.index.items():
@@ -183,9 +196,44 @@ class LicenceModel:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def holds_notice(self, words: list[bytes]) -> bool:
+    def near_notice(self, words: list[bytes]) -> bool:
+        """Whether the paragraph holds half of the word pairs of a notice."""
         pairs = set(zip(words, words[1:]))
-        return any(n <= pairs for v in self.notices.values() for n in v)
+        return any(2 * len(n & pairs) >= len(n) for v in self.notices.values() for n in v)
+
+    def strongest(self, words: list[bytes], found: set[str]) -> tuple[str, float] | None:
+        """The family that a window speaks for, other than those of kinds found already, unless it speaks for none."""
+        cells = [self.index[g] for g in grams_of(words, self.p.n_grams) if g in self.index]
+        if not cells:
+            return None
+        z = self.weights[cells].sum(0) / np.sqrt(len(cells)) + self.bias
+        z[[self.kind[f] in found for f in self.families]] = -np.inf
+        p = self.chances(z[None] / self.temperature)[0]
+        y = int(p.argmax())
+        return (self.families[y], float(p[y])) if y < len(self.families) else None
+
+    def families_in(self, words: list[bytes]) -> list[tuple[str, float, float]]:
+        """``(family, chance, similarity)`` of a paragraph, the likeliest first.
+
+        A long one is looked at in windows, so that other words don't thin a notice out.  In a window with a family the words
+        that name its kind are taken out, and what is left is asked for the other kinds.  Beside the likeliest family of all, one of each
+        other kind counts if a word names it and its notice confirms it.
+        """
+        first, others = None, {}
+        for a in range(0, max(1, len(words) - 15), 15):
+            part, kinds = words[a : a + 30], set()
+            while (found := self.strongest(part, kinds)) is not None:
+                kind = self.kind[found[0]]
+                if not kinds and (first is None or found[1] > first[1]):
+                    first = found
+                if not self.naming[kind].isdisjoint(part) and (kind not in others or found[1] > others[kind][1]):
+                    others[kind] = found
+                kinds.add(kind)
+                part = [w for w in part if w not in self.naming[kind]]
+        if first is None:
+            return []
+        more = [(f, c, s) for k, (f, c) in others.items() if k != self.kind[first[0]] and (s := self.similarity(words, f)) >= self.p.min_similarity]
+        return [(*first, self.similarity(words, first[0]))] + sorted(more, key=lambda x: (-x[1], x[0]))
 
     def similarity(self, words: list[bytes], family: str) -> float:
         """The largest share of a notice's word pairs that the paragraph holds."""
@@ -206,20 +254,7 @@ class LicenceModel:
             words = tokens_of(line)
             if self.anchors.isdisjoint(words):
                 continue
-            # a long line is looked at in windows, so that other words don't thin a notice out
-            best = None
-            for a in range(0, max(1, len(words) - 15), 15):
-                part = words[a : a + 30]
-                cells = [self.index[g] for g in grams_of(part, self.p.n_grams) if g in self.index]
-                if not cells:
-                    continue
-                z = self.weights[cells].sum(0) / np.sqrt(len(cells)) + self.bias
-                p = self.chances(z[None] / self.temperature)[0]
-                y = int(p.argmax())
-                if y < len(self.families) and (best is None or p[y] > best[1]):
-                    best = (self.families[y], float(p[y]))
-            if best:
-                found.append((place, *best, self.similarity(words, best[0])))
+            found += [(place, *x) for x in self.families_in(words)]
         return n, found
 
 
@@ -240,7 +275,7 @@ FOUND = "array<struct<paragraph:int,family:string,chance:double,similarity:doubl
 
 
 def scan(docs: DataFrame, model: LicenceModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_paragraphs`` and ``licences``: place, family, chance, similarity and confirmation of each paragraph with one.
+    """``docs`` with ``n_paragraphs`` and ``licences``: place, family, chance, similarity and confirmation of each licence of each paragraph.
 
     The place is that of the line, from 0.  Null and empty texts have no paragraph.  Ties between families go to the name that
     sorts first.  Columns of the two names are replaced.
