@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.graph import components
@@ -257,14 +257,22 @@ def compared(star: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
     return rows.mapInArrow(compare_with_pivot(p), SHARED)
 
 
+def linked_with_pivot(p: NearDupParams) -> Column:
+    return 100 * F.col("same") >= p.percent * (F.col("size_pivot") + F.col("size_node") - F.col("same"))
+
+
 def ring_links(star: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """Links ``(a, b)`` among the nodes around a pivot that are not both linked with it."""
+    """Links ``(a, b)`` among the nodes around a pivot that are not both linked with it.
+
+    Ring 0 reaches a little beyond the allowed distance: its nodes that aren't linked with the pivot are compared as well.
+    """
     # a little wider than the allowed distance, so that rounding moves no pair two rings apart
     distance = 1 - F.col("same") / (F.col("size_pivot") + F.col("size_node") - F.col("same"))
     ring = F.floor(distance / F.lit(1.0001 * (1 - p.percent / 100))).cast("int")
-    placed = star.select("pivot", "node", ring.alias("own"))
-    rows = placed.select("pivot", "node", F.explode(F.array(F.struct(F.col("own").alias("ring"), F.lit(True).alias("outer")), F.struct((F.col("own") + 1).alias("ring"), F.lit(False).alias("outer")))).alias("x"))
-    rows = rows.select("pivot", "node", "x.ring", "x.outer").where("ring > 0")
+    apart = ~linked_with_pivot(p)
+    placed = star.select("pivot", "node", ring.alias("own"), apart.alias("apart"))
+    rows = placed.select("pivot", "node", F.explode(F.array(F.struct(F.col("own").alias("ring"), F.col("apart").alias("outer")), F.struct((F.col("own") + 1).alias("ring"), F.lit(False).alias("outer")))).alias("x"))
+    rows = rows.select("pivot", "node", "x.ring", "x.outer")
     sizes = rows.groupBy("pivot", "ring").agg(F.sum(F.col("outer").cast("int")).alias("n_outer"), F.count(F.lit(1)).alias("n"))
     # a ring with one member and nothing inside has no pair; the pivot itself was compared before
     rows = rows.join(sizes.where("n_outer > 0 AND n > 1"), ["pivot", "ring"])
@@ -296,8 +304,7 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     texts = materialise(texts, "suspects")  # joined by sorting at every size: what meets them grows with the corpus
     measured = materialise(compared(star, texts, p), "measured")
-    linked = 100 * F.col("same") >= p.percent * (F.col("size_pivot") + F.col("size_node") - F.col("same"))
-    links = measured.where(linked).select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(ring_links(measured, texts, p))
+    links = measured.where(linked_with_pivot(p)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(ring_links(measured, texts, p))
     labels = components(links, "a", "b")
     copies = classes.where("n > 1").select("low", "high", "first")
     rows = signed.join(copies, ["low", "high"], "left").withColumn("node", F.coalesce("first", "doc_id"))
