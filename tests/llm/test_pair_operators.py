@@ -55,6 +55,13 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got == grouped(texts)
 
 
+def test_nodes_just_beyond_the_limit_are_compared(spark):
+    """2,850 of 3,353 shingles shared is less than 85 %, yet so near that both nodes fall into ring 0."""
+    around = spark.createDataFrame([(0, i, 2850, 3000, 3203) for i in (1, 2)] + [(0, 3, 2900, 3000, 3203)], near_dup.SHARED)
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "u v w x y z")], "node long, text string")
+    assert {tuple(sorted(r)) for r in near_dup.ring_links(around, texts, near_dup.NearDupParams()).collect()} == {(1, 2)}
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = near_dup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
@@ -251,6 +258,14 @@ def test_short_lines_that_repeat(spark):
     assert got == {1: ("Menu\nHome\n\nyes", 1), 2: ("Hose\n\nno", 2), 3: ("--\n \nMENU", 2)}
 
 
+def test_lines_of_an_id_with_several_texts(spark):
+    """Every distinct line stays once, whichever of the texts holds it; equal rows lose the same lines."""
+    rows = [(1, "X one\nY two"), (1, "Z three\nX one"), (1, None), (2, "Y two\nW four\nW four"), (2, "Y two\nW four\nW four")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.EVERY_LINE).collect()
+    found = sorted((r["doc_id"], r["text"] or "", r["n_lines"], r["n_dropped"]) for r in got)
+    assert found == [(1, "", 0, 0), (1, "X one\nY two", 2, 0), (1, "Z three", 2, 1), (2, "W four", 3, 2), (2, "W four", 3, 2)]
+
+
 def test_lines_odd_rows(odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == [c for c in odd.columns if c != "n_lines"] + ["n_lines", "n_dropped"]

@@ -144,8 +144,8 @@ def edit_distance(pairs: DataFrame, a: str, b: str, limit: int, name: str = "dis
 
 
 def lines_in(docs: DataFrame) -> DataFrame:
-    """``(doc_id, at, line)`` for every line of every text."""
-    return docs.select("doc_id", F.posexplode(lines_of("text")).alias("at", "line"))
+    """``(doc_id, v, at, line)`` for every line of every text; ``v`` is the hash of the text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("v"), F.posexplode(lines_of("text")).alias("at", "line"))
 
 
 def considered(line: Column, p: LineParams) -> Column:
@@ -200,46 +200,56 @@ def keep_lines(text: str, hashes: str) -> Column:
 
 
 def dropped_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
-    """``(doc_id, drop)``: for documents that lose lines, the 0-based places of those.
+    """``(doc_id, drop)``: for documents that lose lines, the spots of those (see ``spot``).
 
     A line goes when it equals an earlier line, or, from ``min_chars`` on, is within ``edits`` of an earlier distinct one.  Lines are ordered by
-    ``doc_id`` and place; a distinct line counts where it is first.
+    ``doc_id``, place and, where an id has several texts, the hash of the text; a distinct line counts where it is first.
     """
+    place = F.struct("at", "v")
     identity = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
     exact = (F.length("line") >= p.least) & has_word(F.col("line"))
-    seen = lines_in(docs).where(exact).where("doc_id IS NOT NULL").select("doc_id", "at", *identity)
+    seen = lines_in(docs).where(exact).where("doc_id IS NOT NULL").select("doc_id", "v", "at", *identity)
     seen = materialise(seen, "lines")
     firsts = materialise(seen.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "first-lines")
     repeated = firsts.where("n > 1").select("h", "g", "first")
     links = materialise(near_pairs(docs.where("doc_id IS NOT NULL"), firsts, p), "near-lines")
     # within one document the place decides
     spots = seen.join(links.where("doc_a = doc_b").select(F.col("h_a").alias("h")).union(links.where("doc_a = doc_b").select("h_b")).distinct(), "h", "left_semi")
-    spots = spots.groupBy("doc_id", "h").agg(F.min("at").alias("at"))
+    spots = spots.groupBy("doc_id", "h").agg(F.min(place).alias("at"))
     placed = (
         links.join(spots.select(F.col("doc_id").alias("doc_a"), F.col("h").alias("h_a"), F.col("at").alias("at_a")), ["doc_a", "h_a"], "left")
         .join(spots.select(F.col("doc_id").alias("doc_b"), F.col("h").alias("h_b"), F.col("at").alias("at_b")), ["doc_b", "h_b"], "left")
     )
     a_first = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("at_a") < F.col("at_b")))
     later = placed.select(F.when(a_first, F.col("h_b")).otherwise(F.col("h_a")).alias("h")).distinct()
-    again = seen.join(repeated, ["h", "g"]).groupBy("doc_id", "h", "g", "first").agg(F.min("at").alias("from"), F.collect_list("at").alias("ats"))
-    again = again.select("doc_id", F.explode(F.filter("ats", lambda x: (F.col("doc_id") != F.col("first")) | (x != F.col("from")))).alias("at"))
-    near = seen.join(later, "h", "left_semi").select("doc_id", "at")
+    again = seen.join(repeated, ["h", "g"]).groupBy("doc_id", "h", "g", "first").agg(F.min(place).alias("from"), F.collect_set(place).alias("ats"))
+    again = again.select("doc_id", F.explode(F.filter("ats", lambda x: (F.col("doc_id") != F.col("first")) | (x != F.col("from")))).alias("x"))
+    again = again.select("doc_id", spot("x.v", "x.at").alias("at"))
+    near = seen.join(later, "h", "left_semi").select("doc_id", spot("v", "at").alias("at"))
     return again.union(near).groupBy("doc_id").agg(F.collect_set("at").alias("drop"))
 
 
+def spot(v: str, at: Column | str) -> Column:
+    """A place in one of the texts of an id, as one number."""
+    return F.xxhash64(F.col(v), at)
+
+
 def dedup_lines(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines``, ``n_dropped``.
 
     Lines without a word or shorter than the bounds stay.  Null and empty texts stay as they are (0 and 1 lines); a
-    null ``doc_id`` keeps all its lines and drops nobody else's.  Rows that repeat an id are one document with the same text: each loses
-    the same lines.  Columns of the two added names are replaced.
+    null ``doc_id`` keeps all its lines and drops nobody else's.  Rows that repeat an id and its text are one document: each loses
+    the same lines.  Rows of one id with different texts follow each other line by line, and every distinct line of theirs stays once.  Columns
+    of the two added names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     drop = dropped_lines(docs.select("doc_id", "text"), p).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    rows = docs.select(*kept).join(drop.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
+    rows = docs.select(*kept).join(drop.hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("__drop", i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(left)
+    rows = rows.withColumn("__v", F.when(F.col("__drop").isNotNull(), F.xxhash64("text")))
+    rows = rows.withColumn("__left", F.when(F.col("__drop").isNotNull(), F.filter(lines, lambda line, i: ~F.array_contains("__drop", spot("__v", i)))))
+    text = F.coalesce(F.array_join("__left", "\n"), F.col("text"))
     out = [text.alias(c) if c == "text" else F.col(c) for c in kept]
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return rows.select(*out, n.alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    lost = F.when(F.col("__left").isNull(), 0).otherwise(F.size(lines) - F.size("__left")).cast("long")
+    return rows.select(*out, n.alias("n_lines"), lost.alias("n_dropped"))
