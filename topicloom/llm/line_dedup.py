@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.words import has_word, lines_of
@@ -81,19 +81,27 @@ def probe_keys(line: str, n: str, p: LineParams) -> Column:
     return F.array(*keys)
 
 
-LETTERS = "enitarosldcumphg"  # frequent ones; any sixteen serve
+LETTERS = ("enitarosldcumphg", "fybkvw0123456789")  # any sixteen each serve
 
 
-def letter_counts(line: Column) -> Column:
+def letter_counts(line: Column, letters: str) -> Column:
     """How often sixteen letters occur, each modulo 16 in four bits."""
     one = lambda i, c: F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(15)), 4 * i)
-    return reduce(lambda a, b: a.bitwiseOR(b), [one(i, c) for i, c in enumerate(LETTERS)])
+    return reduce(lambda a, b: a.bitwiseOR(b), [one(i, c) for i, c in enumerate(letters)])
 
 
 def counts_apart(a: str, b: str) -> Column:
     """Sum of the differences of two letter counts, the shorter way round; an edit adds two at most."""
     apart = lambda i: F.shiftrightunsigned(F.col(a), 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(F.col(b), 4 * i).bitwiseAND(F.lit(15))
-    return reduce(lambda x, y: x + y, [F.least(F.abs(apart(i)), 16 - F.abs(apart(i))) for i in range(len(LETTERS))])
+    return reduce(lambda x, y: x + y, [F.least(F.abs(apart(i)), 16 - F.abs(apart(i))) for i in range(16)])
+
+
+def letters_apart(a: str, b: str) -> Column:
+    """The number of letters whose counts differ: never more than ``counts_apart``, and cheap."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
 def shared_prefix(a: Column, b: Column, limit: Column) -> Column:
@@ -163,25 +171,30 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, p: LineParams) -> DataFrame:
     own_lines = docs.select("doc_id", F.explode(F.array_distinct(lines_of("text"))).alias("line"))
     lines = own_lines.where(considered(F.col("line"), p)).select("doc_id", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"))
     lines = lines.join(F.broadcast(hot), F.col("h") == F.col("_h"), "left").where("_first IS NULL OR _first = doc_id")
-    lines = lines.select("line", "n", "h", letter_counts(F.col("line")).alias("c"))
-
-    def keyed(keys: Column, x: str) -> DataFrame:
-        rows = lines.select(F.col("h").alias(f"h_{x}"), F.col("c").alias(f"c_{x}"), F.explode(keys).alias("k")).where("k IS NOT NULL")
-        return rows.repartition("k").dropDuplicates(["k", f"h_{x}"])
-
-    # lines of one form that differ by a word or more meet on many segments; most end here, as their letters differ
-    alike = counts_apart("c_a", "c_b") <= 2 * p.edits
-    index = keyed(index_keys("line", "n", p), "a")
-    moved = index.join(keyed(probe_keys("line", "n", p), "b"), "k").where((F.col("h_a") != F.col("h_b")) & alike)
-    # the index keys serve as probes of the same length and place
-    level = index.join(keyed(index_keys("line", "n", p), "b"), "k").where((F.col("h_a") < F.col("h_b")) & alike)
-    met = materialise(moved.select("h_a", "h_b").union(level.select("h_a", "h_b")).distinct(), "met-lines")
-    wanted = met.select(F.col("h_a").alias("h")).union(met.select("h_b")).distinct()
+    # one row for each key of a line; only those whose key another line has as well go on
+    tagged = lambda keys, indexed: F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(indexed).alias("indexed")))
+    rows = lines.select("h", F.explode(F.concat(tagged(index_keys("line", "n", p), True), tagged(probe_keys("line", "n", p), False))).alias("x"))
+    rows = rows.select("x.k", "h", "x.indexed").where("k IS NOT NULL").repartition("k")
+    of_key = Window.partitionBy("k")
+    shared = (F.min("h").over(of_key) < F.max("h").over(of_key)) & F.max("indexed").over(of_key)
+    keys = materialise(rows.withColumn("shared", shared).where("shared").select("k", "h", "indexed").distinct(), "met-keys")
+    wanted = keys.select("h").distinct()
     places = materialise(firsts.join(wanted, "h").groupBy("h").agg(F.min("first").alias("doc")), "met-places")
     of_docs = places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("h").alias("hs"))  # lines of one document
     texts = docs.join(of_docs.hint("merge"), "doc_id").select("doc_id", keep_lines("text", "hs").alias("text"))
     texts = lines_in(texts).select(F.xxhash64("line").alias("h"), "line").dropDuplicates(["h"]).join(places, "h")
     texts = materialise(texts, "met-texts")
+    # lines of one form that differ by a word or more meet on many segments; most end inside this join, as their letters differ
+    counts = texts.select("h", *[letter_counts(F.col("line"), x).alias(f"c{i}") for i, x in enumerate(LETTERS)])
+    signed = keys.join(counts, "h")
+    side = lambda x: signed.select("k", "indexed", *[F.col(c).alias(f"{c}_{x}") for c in ("h", "c0", "c1")])
+    alike = letters_apart("c0_a", "c0_b") + letters_apart("c1_a", "c1_b") <= 2 * p.edits
+    alike &= counts_apart("c0_a", "c0_b") + counts_apart("c1_a", "c1_b") <= 2 * p.edits
+    # two index keys meet both ways round
+    once_each = (F.col("h_a") < F.col("h_b")) | ((F.col("h_a") != F.col("h_b")) & ~F.col("indexed"))
+    met = side("a").where("indexed").drop("indexed").join(side("b"), "k").where(once_each & alike)
+    met = met.select(F.least("h_a", "h_b").alias("h_a"), F.greatest("h_a", "h_b").alias("h_b")).distinct()
+    met = materialise(met, "met-lines")
     of = lambda x: texts.select(F.col("h").alias(f"h_{x}"), F.col("doc").alias(f"doc_{x}"), F.col("line").alias(x))
     half = met.join(of("a"), "h_a").alias("x")
     # pairs far beyond the bound end inside the join, so that only few leave it
@@ -189,7 +202,7 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, p: LineParams) -> DataFrame:
     pairs = half.join(of("b").withColumnRenamed("h_b", "_h"), (F.col("h_b") == F.col("_h")) & close).drop("_h")
     near = edit_distance(pairs, "a", "b", p.edits).where(F.col("distance") <= p.edits).select("h_a", "doc_a", "h_b", "doc_b")
     near = materialise(near, "near-lines")
-    for table in (met, places, texts):
+    for table in (keys, met, places, texts):
         discard(table)
     return near
 
