@@ -1,5 +1,6 @@
 """Duplicates, passages, lines, neighbours, mixing: against brute force, and odd inputs."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm import line_dedup, mixing, near_dup, neighbours, passages
 from topicloom.llm.graph import components
+from topicloom.runtime import scratch_root
 
 
 def near_copies(seed, n=160, words=120):
@@ -137,6 +139,18 @@ def test_passages_whose_parts_lie_in_earlier_documents(spark):
     assert got == {(n + 1, n, 5, 65), (n + 3, n + 2, 5, 65)}
 
 
+def test_passages_leave_no_superseded_tables(spark):
+    """Of the scratch tables only those that the result still reads stay."""
+    rng = random.Random(12)
+    shared = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    docs = spark.createDataFrame([(i, " ".join([f"x{rng.randrange(10**6)}" for _ in range(60)] + shared)) for i in range(4)], "doc_id long, text string")
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    found = passages.repeated_passages(docs)
+    assert sorted((x[:-33] for x in set(os.listdir(root)) - before)) == ["pairs", "seed-texts", "signed"]
+    assert sorted((r.doc_id, r.other_id, r.matched) for r in found.collect()) == [(i, 0, 80) for i in (1, 2, 3)]
+
+
 def test_passages_with_many_changes(spark):
     """Recall at several distances of changed words; passages of 100 words in documents of 180."""
     rng = random.Random(1)
