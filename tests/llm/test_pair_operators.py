@@ -2,9 +2,11 @@
 
 import os
 import random
+import sys
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from topicloom.llm import line_dedup, mixing, near_dup, neighbours, passages
@@ -187,6 +189,56 @@ def test_common_words_of_long_gaps():
         assert passages.common_words(x, y) == row[-1]
 
 
+def test_pairs_are_compared_without_a_step_for_each_word():
+    """Calls made for a pair of long texts are about as many as for a pair of short ones."""
+
+    def calls(n: int) -> int:
+        shared = [f"s{i}" for i in range(80)]
+        texts = [" ".join([f"{x}{i}" for i in range(n)] + shared) for x in "ab"]
+        plain = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(texts)], ["node", "text"])
+        packed = next(iter(passages.squeezed(iter([plain])))).column(1)
+        rows = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([0, 0]), pa.array([0, 1]), packed], ["first", "chunk", "node", "text"])
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(event) if event in ("call", "c_call") else None)
+        try:
+            found = [x for batch in passages.chain_pairs(passages.PassageParams())(iter([rows])) for x in batch.to_pylist()]
+        finally:
+            sys.setprofile(None)
+        assert [(x["doc_id"], x["other_id"], x["start"], x["end"], x["matched"]) for x in found] == [(1, 0, n, n + 80, 80)]
+        return len(seen)
+
+    assert calls(20000) < 2 * calls(1000)
+
+
+def test_compared_words_are_told_apart():
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"aAbB\xc3\xa9\x00\xff") for _ in range(rng.randrange(1, 5))) for _ in range(3000)] + [b"x" * 70000, b"x" * 69999]
+    text = b"\n ".join(words) + b"\t"
+    numbers = passages.compared_words(text).tolist()
+    number_of = dict(zip(text.lower().split(), numbers))
+    assert [number_of[w] for w in text.lower().split()] == numbers
+    assert len(set(numbers)) == len(number_of)
+    assert not len(passages.compared_words(b"")) and not len(passages.compared_words(b" \n"))
+
+
+def test_runs_by_brute_force():
+    """Without repeats, every maximal run of shared k-mers; with many, runs that can't be grown and that hold each run of min_words."""
+    rng, p = np.random.default_rng(9), passages.PassageParams(near=2)
+    for letters, n in ((40, 120), (3, 150), (2, 260)):
+        a, b = (rng.integers(0, letters, n).astype(np.uint64) for _ in range(2))
+        b[20:90] = a[5:75]
+        runs = passages.runs_of(a, passages.Held(b, p), p)
+        every = set()
+        for i in range(n):
+            for j in range(n):
+                if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                    size = next((m for m in range(min(n - i, n - j)) if a[i + m] != b[j + m]), min(n - i, n - j))
+                    every |= {(i, j, size)} if size >= p.k else set()
+        assert set(runs) <= every and any(i <= 5 and i + m >= 75 for i, _, m in runs)
+        if letters == 40:
+            assert set(runs) == every
+
+
 def test_passages_odd_rows(odd, none):
     rows = passages.repeated_passages(odd).collect()
     assert {(r["doc_id"], r["other_id"]) for r in rows} == {(7, 6)}
