@@ -1,8 +1,10 @@
 """Quality, language, rules, token ids, licences: odd inputs, held-out accuracy, round trips."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,32 @@ def test_ids_round_trip_in_spark(odd, none):
     assert pieces.encode(none, model).count() == 0
 
 
+def test_a_worker_holds_a_bounded_number_of_words():
+    """Many distinct words leave the memory of an encoder small; words that were forgotten get the same ids again."""
+    from sentencepiece import SentencePieceProcessor
+
+    library, encoder = SentencePieceProcessor(model_file=MODEL), pieces.Encoder(pieces.load(MODEL))
+    text = lambda n: " ".join(f"n{i * 7919 % 1000003}" for i in range(8000 * n, 8000 * (n + 1)))
+    tracemalloc.start()
+    try:
+        for k in range(5):
+            encoder.encode([text(10 * k + j) for j in range(10)])
+        assert tracemalloc.get_traced_memory()[1] < 90 << 20  # 112 MB when every word was kept and a megabyte of them encoded at once
+    finally:
+        tracemalloc.stop()
+    assert len(encoder.words) + len(encoder.older) < 300_000  # of 400,000
+    for n in (0, 39, 49, 0):  # forgotten, in the older generation, in the newer one, met again
+        assert encoder.encode([text(n) + " the"])[0].tolist() == library.encode(text(n) + " the")
+
+
+def test_texts_are_split_in_parts_of_bounded_size():
+    texts = pa.array(["ab", "", None, "x" * 9, "c", "d"])
+    assert list(pieces.parts_of(texts, 3, 4)) == [(0, 3), (3, 1), (4, 2)]
+    assert list(pieces.parts_of(texts, 2, 100)) == [(0, 2), (2, 2), (4, 2)]
+    assert list(pieces.parts_of(texts.slice(0, 0), 3, 4)) == []
+    assert list(pieces.parts_of(pa.array([None, None], pa.large_string()), 1, 4)) == [(0, 1), (1, 1)]
+
+
 def test_licences(spark, odd, none, documents):
     model = licences.fit(documents)
     lines = {

@@ -17,14 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"  # how a model writes a blank
 STOP, NUL, NO_PIECE = 0xFF, 0xFE, 0xFFFF  # bytes that UTF-8 never has; a number that no piece has
-BATCH_BYTES = 1 << 20
-KEPT_WORDS = 900_000
+# none of these changes a result; they bound what a worker process holds, and an idle one keeps it
+BATCH_BYTES = 1 << 18  # words encoded together
+TEXT_BYTES = 1 << 20  # texts split together
+KEPT_WORDS = 100_000  # of each of two generations
+KEPT_PAIRS = 500_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +66,11 @@ def load(path: str) -> PieceModel:
 
 
 class Encoder:
-    """Encodes batches of words; keeps the ids of words it has seen, up to a bound."""
+    """Encodes batches of words; keeps the ids of words it has seen lately, up to a bound.
+
+    Words are kept in two generations: when the newer one is full it becomes the older one, whose words are
+    taken over as they are met again and go with it otherwise.
+    """
 
     def __init__(self, model: PieceModel):
         self.model = model
@@ -75,6 +83,7 @@ class Encoder:
         self.low = np.array([self.packed(model.pieces[i], 0) for i in self.ids], np.uint64)
         self.high = np.array([self.packed(model.pieces[i], STOP) for i in self.ids], np.uint64)
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.runs: dict[int, bytes] = {0: b""}
         self.apart: dict[int, bool] = {}
         self.recent_keys = np.full(1 << 20, -1, np.int64)
@@ -144,7 +153,7 @@ class Encoder:
         out = self.recent[slot]
         if len(unseen):
             different, back = np.unique(keys[unseen], return_inverse=True)
-            if len(self.apart) > 1_500_000:
+            if len(self.apart) > KEPT_PAIRS:
                 self.apart.clear()
             found = np.empty(len(different), bool)
             for n, k in enumerate(different.tolist()):
@@ -273,8 +282,11 @@ class Encoder:
         """Ids of whole texts; null stays null, the empty text has none."""
         split = [None if t is None else (b" " + t.encode().replace(SPACE.encode(), b" ")).split(b" ")[1:] if t else [] for t in texts]
         if len(self.words) > KEPT_WORDS:
-            self.words = {}
-        self.learn(list({w for words in split if words for w in words if w and w not in self.words}))
+            self.older, self.words = self.words, {}
+        unmet = {w for words in split if words for w in words if w and w not in self.words}
+        for w in unmet & self.older.keys():
+            self.words[w] = self.older[w]
+        self.learn([w for w in unmet if w not in self.words])
         blank, out = np.array([self.id_of[b" "]], "<u2").tobytes(), []
         get = self.words.get
         for words in split:
@@ -311,6 +323,17 @@ def byte_table(model: PieceModel) -> list[bytes]:
     return table
 
 
+def parts_of(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """Start and number of consecutive rows: at most ``rows`` of them, and ``size`` bytes where they are more than one."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    start = 0
+    while start < len(texts):
+        fits = int(np.searchsorted(ends, ends[start] + size, side="right")) - 1
+        n = max(1, min(fits, start + rows) - start)
+        yield start, n
+        start += n
+
+
 def encoder_of(model: PieceModel) -> Encoder:
     """One encoder for each worker process and model, kept between tasks with the words it knows."""
     mark, kept = hash((model.pieces, model.scores, model.byte_ids)), sys.__dict__.setdefault("_piece_encoder", {})
@@ -333,8 +356,8 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", rows: int = 1
         own = PieceModel(*shared.value)
         encoder, table = encoder_of(own), byte_table(own)
         for batch in batches:
-            for start in range(0, len(batch), rows):
-                part = batch.slice(start, rows)
+            for start, n in parts_of(batch.column(0), rows, TEXT_BYTES):
+                part = batch.slice(start, n)
                 texts = part.column(0).to_pylist()
                 ids = encoder.encode(texts)
                 back = [None if t is None else decoded(own, i, table) == t.replace(SPACE, " ") for t, i in zip(texts, ids)]
