@@ -402,3 +402,35 @@ def test_mixing_odd_rows(spark, odd, none):
     assert mixed.columns == odd.columns and mixed.where("doc_id IS NULL").count() == 1
     empty = labels.limit(0)
     assert mixing.mix(odd, empty).count() == odd.count() and mixing.mix(none, empty).count() == 0
+
+
+def test_passages_with_changes_whose_parts_lie_in_earlier_documents(spark):
+    """Each piece of ten words lies in an earlier document of its own, so no two seeds are first in the document that has the passage."""
+    rng = random.Random(13)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    texts, late, wanted = [], [], set()
+    for _ in range(30):
+        whole = fresh(100)
+        texts += [fresh(60) + whole[i : i + 10] for i in range(0, 100, 10)]
+        changed = [w if (i + 1) % 10 else "zz" for i, w in enumerate(whole)]
+        late += [fresh(5) + whole + fresh(30), fresh(40) + changed + fresh(7)]
+    for i in range(0, len(late), 2):
+        wanted.add((len(texts) + i + 1, len(texts) + i))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + late)], "doc_id long, text string")
+    got = passages.repeated_passages(docs).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} <= wanted and len(got) >= 29
+    assert all(r["matched"] >= 75 for r in got)
+    assert len({(r["doc_id"], r["other_id"]) for r in got}) == len(got)
+
+
+def test_open_seeds_meet_every_earlier_holder(spark):
+    """Two seeds with other words between them pair all their holders, in parts; with the same words the first alone; and places that a
+    passage covers none."""
+    seeds = lambda before: [(7, 10 << 32 | 5), (8, 20 << 32 | before)]
+    rows = [(key, node, spot, 1) for node, before in ((1, 100), (2, 200), (3, 100), (4, 300), (5, 200)) for key, spot in seeds(before)]
+    shared = spark.createDataFrame(rows, "key long, node long, spot long, first long")
+    found = spark.createDataFrame([(5, 1, 0, 60, 0, 60, 60)], passages.FOUND)
+    nodes = spark.range(1, 6).withColumnRenamed("id", "node")
+    for chunk in (1, 1024):
+        pairs = passages.open_pairs(shared, found, nodes, passages.PassageParams(chunk=chunk)).collect()
+        assert sorted(map(tuple, pairs)) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
